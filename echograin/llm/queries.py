@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, packing, simhash, token_files
+from . import exact_dedup, langid, packing, pii, simhash, token_files
 from .tokens import public
 
 
@@ -26,6 +26,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), public("word_bpe_49k.json"), capacity=2048)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(_documents(spark, sf_dir), words=3, radius=2)
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_personal_data": op7_personal_data,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
