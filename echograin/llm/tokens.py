@@ -1,28 +1,115 @@
 """Encoding whole texts with a public tokenizer of the tokenizers library.
 
-The library cuts a text at white space before it merges anything, and a chunk's ids
-depend on that chunk alone. So each different chunk is given to the library once and
-its ids are kept, up to a bound, for the worker's life; texts are put together from chunks with
-numpy. Texts with control characters that Python and the library class differently go to the library whole.
+The library cuts a text at white space, and between letters and marks, before it merges anything, and
+what it makes of a chunk depends on that chunk alone. So a text is cut into chunks, a chunk of letters
+and marks into the two, and the library is given each different one once; its ids
+are kept, up to a bound, for the worker's life, and numpy puts the texts' ids together. Texts with control
+characters that Python and the library class differently go to the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Distinct chunks and their characters that a worker keeps at most.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 16_000_000
+from .common import text_bytes
 
-_SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_DOUBTFUL = re.compile("[\x1c-\x1f]")
+#: Different chunks, and their characters, that a worker keeps at most.
+KEPT_CHUNKS, KEPT_CHARS = 900_000, 24_000_000
+
+#: White space beyond ASCII, and characters that not all libraries count as white space.
+_DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Latin letters, then marks: two chunks to the library, whatever its tables of characters.
+_MARKS = ".,;:!?#$%&*"
+_STEM = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 _encoders: dict[str, Encoder] = {}
 
 
+class _Ragged:
+    """Rows of ids, end to end, that rows are added to."""
+
+    def __init__(self) -> None:
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 12, np.int64)  # of row k; that of k + 1 ends it
+        self.rows = 0
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        used, rows = int(self.starts[self.rows]), self.rows + len(lengths)
+        if used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+        self.ids[used : used + len(ids)] = ids
+        if rows >= len(self.starts):
+            self.starts = np.resize(self.starts, 2 * rows + 1)
+        self.starts[self.rows + 1 : rows + 1] = used + np.cumsum(lengths)
+        self.rows = rows
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these rows, end to end, and their lengths."""
+        begins = self.starts[rows]
+        lengths = self.starts[rows + 1] - begins
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
+
+
+class _Codes(dict):
+    """Numbers for strings, in order of their coming; `new` holds those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self)
+        self.new.append(key)
+        return code
+
+
+def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte: is it white, is the next one in its text, is the one before; outside a text all is white."""
+    white = _WHITE[data]
+    after, before = np.ones(len(data), bool), np.ones(len(data), bool)
+    after[:-1], before[1:] = white[1:], white[:-1]
+    filled = offsets[:-1][offsets[:-1] < offsets[1:]]
+    before[filled] = True
+    after[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = True
+    return white, after, before
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words between white space: their bytes end to end, their offsets, and each text's first word."""
+    white, _, before = _edges(data, offsets)
+    starts = np.flatnonzero(~white & before)
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(~white)])
+    return data[~white], np.append(at[starts], at[-1]), np.searchsorted(starts, offsets)
+
+
+def cut_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, each with a space right before it, and the rest of white space; all bytes are kept.
+
+    White space before a word gives up its last character: to the word if that is a
+    space, else as a chunk of its own.
+    """
+    white, after, before = _edges(data, offsets)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    spaced = np.zeros(len(data), bool)
+    spaced[1:] = data[:-1] == 32
+    inner = ~first[:-1]
+    run = white & (~before | ~inner | ~after)
+    word = ~white & (~inner | (before & ~spaced))
+    starts = np.flatnonzero(run | word)
+    return data, np.append(starts, len(data)), np.searchsorted(starts, offsets)
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -30,8 +117,14 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        # With a normaliser, white space is dropped; without, a chunk takes the space before it.
-        self.cut = str.split if self.library.normalizer is not None else _SPACED.findall
+        # With a normaliser, white space is dropped and letters are lowered; without, a chunk takes the space before it.
+        self.lowers = self.library.normalizer is not None
+        self.cut = cut_words if self.lowers else cut_spaced
+        self.bare = self.library
+        if self.lowers:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.encode_special_tokens = True
+            self.bare.normalizer = None
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self._clear()
 
@@ -43,43 +136,70 @@ class Encoder:
         return _encoders[path]
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.chunks, self.of_chunk = _Codes(), _Ragged()
+        self.atoms, self.of_atom = _Codes(), _Ragged()
+        self.atoms[""] = 0
+        self.of_atom.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self.chars = 0
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)  # of chunk k's ids; those of k + 1 end them
-        self.used = 0
-
-    def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
-        first = len(self.index)
-        self.index.update(zip(chunks, range(first, first + len(chunks))))
-        self.chars += sum(map(len, chunks))
+
+    def _learn(self) -> None:
+        """Ids for the chunks that came new: those of a stem and of the marks after it, or of the whole."""
+        chunks = pa.array(self.chunks.new, pa.string())
+        self.chunks.new.clear()
+        self.chars += pc.sum(pc.binary_length(chunks)).as_py()
+        stems = pc.utf8_rtrim(chunks, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, _STEM)
+        marks = pc.replace_substring_regex(chunks.filter(plain), f"(?s)^.*?([{_MARKS}]*)$", "\\1")
+        stems = stems.filter(plain)
+        plain = plain.to_numpy(zero_copy_only=False)
+        pairs = np.zeros((len(chunks), 2), np.int64)
+        pairs[plain, 0] = self._codes(self.atoms, pc.utf8_lower(stems) if self.lowers else stems)
+        pairs[plain, 1] = self._codes(self.atoms, marks)
+        self._add(self.bare, self.atoms.new)
+        self.atoms.new.clear()
+        whole = chunks.filter(pa.array(~plain)).to_pylist()
+        pairs[~plain, 0] = [self.atoms["\0" + w] for w in whole]
+        self._add(self.library, whole)
+        self.atoms.new.clear()
+        ids, lengths = self.of_atom.take(pairs.reshape(-1))
+        self.of_chunk.add(ids, lengths.reshape(-1, 2).sum(1))
+
+    @staticmethod
+    def _codes(known: _Codes, strings: pa.Array) -> np.ndarray:
+        """The number of each string; each different one is looked up once."""
+        different = strings.dictionary_encode()
+        codes = np.fromiter(map(known.__getitem__, different.dictionary.to_pylist()), np.int64, len(different.dictionary))
+        return codes[different.indices.to_numpy()]
+
+    def _add(self, library, texts: list[str]) -> None:
+        """Rows of of_atom for texts."""
+        collecting = gc.isenabled()
+        gc.disable()  # very many small lists, of which none is part of a cycle
+        try:
+            found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        finally:
+            if collecting:
+                gc.enable()
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.used + total))
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
-        if len(self.index) >= len(self.starts):
-            self.starts = np.resize(self.starts, 2 * len(self.index) + 1)
-        self.starts[first + 1 : len(self.index) + 1] = self.used + np.cumsum(lengths)
-        self.used += total
+        self.of_atom.add(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, end to end, and len(texts) + 1 offsets."""
-        if len(self.index) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
+        if len(self.chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
             self._clear()
-        cut = [[] if _DOUBTFUL.search(t) else self.cut(t) for t in texts]
-        new = list(set(itertools.chain.from_iterable(cut)).difference(self.index))
-        if new:
-            self._learn(new)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        codes = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
-        begins = self.starts[codes]
-        lengths = self.starts[codes + 1] - begins
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate([np.zeros(1, np.int64), ends])[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
         odd = [i for i, t in enumerate(texts) if _DOUBTFUL.search(t)]
+        usual = texts
+        if odd:
+            usual = list(texts)
+            for i in odd:
+                usual[i] = ""
+        data, ends, first = self.cut(*text_bytes(pa.array(usual, pa.large_string())))
+        chunks = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+        codes = self._codes(self.chunks, chunks)
+        if self.chunks.new:
+            self._learn()
+        ids, lengths = self.of_chunk.take(codes)
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[first]
         if odd:
             parts = np.split(ids, offsets[1:-1])
             for i in odd:
@@ -101,7 +221,7 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def by_size(texts: list[str], chars: int = 2_000_000):
+def by_size(texts: list[str], chars: int = 3_000_000):
     """Slices of texts of about `chars` characters; a longer text is a slice of its own."""
     begin = held = 0
     for i, t in enumerate(texts):
