@@ -96,9 +96,13 @@ def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Profiles:
     """Profiles from labelled(doc_id, text, lang); rows without text or language are passed over."""
     rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rates = rows.groupBy("lang").count().select("lang", (F.lit(float(train_docs)) / F.col("count")).alias("rate"))
+    # One row for each language there is.
+    rates = {r["lang"]: train_docs / r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not rates:
+        return Profiles({}, top)
+    rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", F.lit("profile")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = rows.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
+    sample = rows.where(draw < rate).select("lang", "text")
     counts = sample.mapInArrow(_count_kernel, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     # At most `top` rows for each language.
