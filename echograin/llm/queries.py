@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, exact_dedup, langid, packing, pii, simhash, token_files
+from . import ball_tree, exact_dedup, langid, packing, passages, pii, simhash, token_files
 from .tokens import public
 
 
@@ -38,6 +38,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_components(_documents(spark, sf_dir), words=3, radius=2)
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(_documents(spark, sf_dir), length=50)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_documents(spark, sf_dir), keep="largest")
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_personal_data": op7_personal_data,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
