@@ -35,10 +35,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 class _Ragged:
-    """Rows of ids, end to end, that rows are added to."""
+    """Rows of numbers, end to end, that rows are added to."""
 
-    def __init__(self) -> None:
-        self.ids = np.zeros(1 << 16, np.uint32)
+    def __init__(self, kind: type = np.uint32) -> None:
+        self.ids = np.zeros(1 << 16, kind)
         self.starts = np.zeros(1 << 12, np.int64)  # of row k; that of k + 1 ends it
         self.rows = 0
 
@@ -53,13 +53,64 @@ class _Ragged:
         self.rows = rows
 
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these rows, end to end, and their lengths."""
+        """The numbers of these rows, end to end, and their lengths."""
         begins = self.starts[rows]
         lengths = self.starts[rows + 1] - begins
         ends = np.cumsum(lengths)
         return self.ids[np.repeat(begins - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
 
 
+class _Chunks:
+    """Numbers for byte strings, found many at a time by hash and then compared byte by byte."""
+
+    def __init__(self, salt: int = 0) -> None:
+        self.salt = salt
+        self.base = (0x9E3779B97F4A7C15 + 2 * salt) | 1
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # in order of hash
+        self.rows = _Ragged(np.uint8)
+
+    def __len__(self) -> int:
+        return self.rows.rows
+
+    def _hash(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        n = len(data) + 1
+        if len(self.power) < n:
+            for name, base in (("power", self.base), ("inverse", pow(self.base, -1, 1 << 64))):
+                table = np.full(2 * n, np.uint64(base))
+                table[0] = 1
+                setattr(self, name, np.cumprod(table, dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], dtype=np.uint64)])
+        h = (sums[offsets[1:]] - sums[offsets[:-1]]) * self.inverse[offsets[:-1]]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+    def find(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """The number of each of different strings, and which came new; None if two share a hash."""
+        data, offsets = text_bytes(strings)
+        h = self._hash(data, offsets)
+        at = np.searchsorted(self.hashes, h)
+        known = np.zeros(len(h), bool)
+        if len(self.hashes):
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == h
+        codes = np.empty(len(h), np.int64)
+        codes[known] = self.codes[at[known]]
+        lengths = np.diff(offsets)
+        same, sizes = self.rows.take(codes[known])
+        if not np.array_equal(sizes, lengths[known]) or not np.array_equal(same, data[np.repeat(known, lengths)]):
+            return None
+        new = np.flatnonzero(~known)
+        if len(new):
+            order = new[np.argsort(h[new], kind="stable")]
+            if (h[order[1:]] == h[order[:-1]]).any():
+                return None
+            codes[new] = len(self) + np.arange(len(new))
+            self.rows.add(data[np.repeat(~known, lengths)], lengths[new])
+            self.hashes = np.insert(self.hashes, at[order], h[order])
+            self.codes = np.insert(self.codes, at[order], codes[order])
+        return codes, new
+
+
 class _Codes(dict):
     """Numbers for strings, in order of their coming; `new` holds those since it was last emptied."""
 
@@ -135,17 +186,15 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _clear(self) -> None:
-        self.chunks, self.of_chunk = _Codes(), _Ragged()
+    def _clear(self, salt: int = 0) -> None:
+        self.chunks, self.of_chunk = _Chunks(salt), _Ragged()
         self.atoms, self.of_atom = _Codes(), _Ragged()
         self.atoms[""] = 0
         self.of_atom.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
         self.chars = 0
 
-    def _learn(self) -> None:
+    def _learn(self, chunks: pa.Array) -> None:
         """Ids for the chunks that came new: those of a stem and of the marks after it, or of the whole."""
-        chunks = pa.array(self.chunks.new, pa.string())
-        self.chunks.new.clear()
         self.chars += pc.sum(pc.binary_length(chunks)).as_py()
         stems = pc.utf8_rtrim(chunks, characters=_MARKS)
         plain = pc.match_substring_regex(stems, _STEM)
@@ -195,10 +244,13 @@ class Encoder:
                 usual[i] = ""
         data, ends, first = self.cut(*text_bytes(pa.array(usual, pa.large_string())))
         chunks = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(np.ascontiguousarray(ends, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
-        codes = self._codes(self.chunks, chunks)
-        if self.chunks.new:
-            self._learn()
-        ids, lengths = self.of_chunk.take(codes)
+        different = chunks.dictionary_encode()
+        while (found := self.chunks.find(different.dictionary)) is None:
+            self._clear(self.chunks.salt + 1)
+        codes, new = found
+        if len(new):
+            self._learn(different.dictionary.take(pa.array(new)))
+        ids, lengths = self.of_chunk.take(codes[different.indices.to_numpy()])
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[first]
         if odd:
             parts = np.split(ids, offsets[1:-1])
