@@ -7,8 +7,8 @@ strings meet in one bucket, that of their anchor.
 
 There, contexts that are equal throughout are folded into one. Those that share an anchor but differ are
 joined up, and their Burrows-Wheeler transform is built. On it, intervals of suffixes
-are extended backwards by one character at a time, breadth first, from the empty string: an
-interval of strings of length l + 1 whose right end has no value yet puts the common prefix there at l.
+are extended backwards by one character at a time, breadth first, from those of the last prefix length below L that the
+sort passes through: an interval of strings of length l + 1 whose right end has no value yet puts the common prefix there at l.
 Values so come in increasing order, and the search stops at L: ends without value are common prefixes of L or more.
 
 Texts don't move. They are written once, bucketed by chunk (some megabytes of consecutive rows);
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import new_path, store, text_bytes
 
 #: Bytes of a chunk, about, and symbols of one transform.
-CHUNK, TRANSFORM = 4 << 20, 2 << 20
+CHUNK, TRANSFORM = 4 << 20, 1 << 17
 #: Bits of a hash that are compared within a bucket.
 _BITS = 34
-_BLOCK = 1 << 18
+_BLOCK = 1 << 15
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LAST = (1 << 63) - 1
 
@@ -209,27 +209,31 @@ def transform_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key << 9 | round_[j : j + n]
-    have = 7
+    have, seed, seeds = 7, 0, key
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(n, bool)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         if have >= length:
             break
+        seed, seeds = have, rank
         key = rank * (n + 1) + np.roll(rank, -have)
         have *= 2
     first = symbols[order]
     bwt = symbols[order - 1]
     forward = np.empty(n, np.int64)
     forward[np.argsort(bwt, kind="stable")] = np.arange(n)
-    set_at = np.zeros(n + 1, bool)
-    set_at[[0, n]] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n)
+    # The sort has told apart prefixes of `seed` symbols; their intervals are where the extension sets out.
+    seeds = seeds[order]
+    set_at = np.ones(n + 1, bool)
+    set_at[1:n] = seeds[1:] != seeds[:-1]
+    lo = np.flatnonzero(set_at[:-1])
+    hi = np.append(lo[1:], n)
     owner = np.zeros(n, np.int64)
     hit = np.zeros(n, bool)
-    for _ in range(length):
+    for _ in range(seed, length):
         sizes = hi - lo
         ends = np.cumsum(sizes)
         inner = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - sizes), sizes)
@@ -255,9 +259,16 @@ def compare(rows: np.ndarray, docs: np.ndarray, a: Anchors) -> np.ndarray:
     masks = np.zeros(len(rows), np.uint64)
     anchor = a.hash_at(rows[:, :-2])
     order = np.argsort(anchor, kind="stable")
-    cuts = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    # An anchor with one context repeats nothing but that context. A window of L bytes around an anchor holds
+    # the anchor and half the context's reach on one side: a context that shares neither half shares no window.
+    middle = a.reach // 2
+    halves = np.zeros(len(rows), bool)
+    for s, e in ((middle, a.reach + a.gram), (a.reach, middle + a.length)):
+        _, place, many = np.unique(row_hash(rows[:, s:e]), return_inverse=True, return_counts=True)
+        halves |= many[place] > 1
+    order = order[halves[order]]
+    cuts = np.flatnonzero(np.append(True, anchor[order][1:] != anchor[order][:-1])) if len(order) else order
     sizes = np.diff(np.append(cuts, len(order)))
-    # An anchor with one context repeats nothing but that context.
     shared = np.repeat(sizes > 1, sizes)
     group = np.repeat(np.arange(len(sizes)), sizes)[shared]
     order = order[shared]
