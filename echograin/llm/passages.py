@@ -486,9 +486,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     numbered.write.bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     by_chunk = texts.groupBy("chunk")
+    # One bucket a task: neither fewer, larger tasks nor uneven ones.
     hashes = by_chunk.applyInArrow(_hash_task(length, buckets), "bucket int, chunk long, keys binary, twice binary")
-    replies = store(hashes.groupBy("bucket").applyInArrow(_repeat_task, "chunk long, bucket int, kind int, blob binary"), "repeats")
+    replies = store(hashes.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_repeat_task, "chunk long, bucket int, kind int, blob binary"), "repeats")
     contexts = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_context_task(length, buckets), "bucket int, chunk long, rows binary, docs binary")
-    masks = store(contexts.groupBy("bucket").applyInArrow(_compare_task(length), "chunk long, bucket int, kind int, blob binary"), "masks")
+    masks = store(contexts.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_compare_task(length), "chunk long, bucket int, kind int, blob binary"), "masks")
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return by_chunk.cogroup(replies.unionByName(masks).groupBy("chunk")).applyInArrow(_remove_task(length, buckets, with_text), shape)
