@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ball_tree, exact_dedup, langid, packing, passages, pii, simhash, token_files
+from . import ball_tree, chat, exact_dedup, langid, merges, packing, passages, pii, simhash, token_files
 from .tokens import public
 
 
@@ -18,6 +18,18 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(_documents(spark, sf_dir))
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merges.encode(_documents(spark, sf_dir), public("piece_bpe_32k.model"), rate=0.1, seed=1)
+
+
+#: The tool that turns_as_calls makes of a conversation's turns.
+ANSWER = {"answer": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}}
+
+
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(chat.turns_as_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), ANSWER)
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20, scale=64.0)
 
@@ -48,6 +60,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_merge_dropout": op2_merge_dropout,
+    "op3_tool_call_linking": op3_tool_call_linking,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_token_files": op5_token_files,
     "op6_best_fit_packing": op6_best_fit_packing,
