@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
@@ -48,6 +50,13 @@ def forget(spark: SparkSession) -> None:
         fs.delete(path, True)
 
 
+def give_back() -> None:
+    """Hands memory that Arrow and the C library hold on to back to the system, so that idle workers are small."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

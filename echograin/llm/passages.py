@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, store, text_bytes
+from .common import give_back, new_path, store, text_bytes
 
 #: Bytes of a chunk, about, and symbols of one transform.
-CHUNK, TRANSFORM = 4 << 20, 1 << 17
+CHUNK, TRANSFORM = 2 << 20, 1 << 17
 #: Bits of a hash that are compared within a bucket.
 _BITS = 34
 _BLOCK = 1 << 15
@@ -188,7 +188,7 @@ class Chunk:
         bits = np.where(self.later, whole, masks[self.context_of])
         for o in range(self.a.window):
             begins[self.at[(bits >> np.uint64(o)) & np.uint64(1) == 1] - self.a.reach + o] = 1
-        total = np.cumsum(begins[:-1])
+        total = np.cumsum(begins[:-1], dtype=np.int32)
         total[self.a.length :] -= total[: -self.a.length].copy() if len(total) > self.a.length else 0
         return total > 0
 
@@ -340,6 +340,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunk(a: Anchors, texts: pa.Table, buckets: int) -> tuple[Chunk, pa.Array]:
+    give_back()
     texts = texts.sort_by("row")
     ids = texts["doc_id"].combine_chunks()
     data, offsets = text_bytes(texts["text"])
@@ -421,6 +422,7 @@ def _compare_task(length: int) -> Callable[[pa.Table], pa.Table]:
     a = Anchors(length)
 
     def task(contexts: pa.Table) -> pa.Table:
+        give_back()
         docs = [np.frombuffer(b, "<i8") for b in contexts["docs"].to_pylist()]
         sizes = [len(d) for d in docs]
         width = a.context + 2
