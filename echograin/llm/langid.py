@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Documents of each language that profiles are learnt from, about.
 TRAIN_DOCS = 2000
 #: Length of a profile, and of a text's list.
@@ -88,8 +90,11 @@ def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
-            grams = [ngrams(texts[i]) for i in np.flatnonzero(langs == lang)]
-            values, counts = np.unique(np.concatenate(grams), return_counts=True)
+            values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for i in np.flatnonzero(langs == lang).tolist():  # a text at a time: few different n-grams, however many
+                own, times = np.unique(ngrams(texts[i]), return_counts=True)
+                both, at = np.unique(np.concatenate([values, own]), return_inverse=True)
+                values, counts = both, np.bincount(at, np.concatenate([counts, times]), len(both)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
 
@@ -119,6 +124,7 @@ def _predict_kernel(profiles: Profiles, text: int) -> Callable[[Iterator[pa.Reco
             found = [profiles.predict(t) for t in batch.column(text).to_pylist()]
             langs = pa.array([lang for lang, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, langs, pa.array([s for _, s in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            give_back()
 
     return kernel
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import give_back, text_bytes
 from .tokens import _Chunks, _Ragged, by_size
 
 RATE, VARIANTS = 0.1, 8
@@ -35,7 +35,7 @@ LONG = 48
 #: Words that go through the agenda together.
 _ROUND = 8192
 #: Words, and words with variant, that a worker keeps at most, about.
-KEPT_WORDS, KEPT = 1_500_000, 4_000_000
+KEPT_WORDS, KEPT = 1_000_000, 2_500_000
 SPACE = "▁"
 _NONE = np.int64(1) << 62
 _PLACES = 1 << 20
@@ -288,6 +288,7 @@ def _kernel(model: str, rate: float, seed: int, variants: int) -> Callable[[Iter
                 fine = pa.array([a == b for a, b in zip(merger.decode(ids, offsets), own)], pa.bool_())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(offsets)), fine, lists], ["doc_id", "n_pieces", "lossless", "ids"])
+            give_back()
 
     return kernel
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import give_back, store
 from .tokens import Encoder, by_size
 
 #: Rounded sizes that the configuration programme works with.
@@ -214,6 +214,7 @@ def _piece_kernel(tokenizer: str, capacity: int, end_id: int, with_ids: bool) ->
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, end[-1:]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
 
     return kernel
 

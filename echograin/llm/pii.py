@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
 from .pii_table import LINES
 
 KINDS = ("email", "ip", "card", "phone")
@@ -359,6 +360,7 @@ def _redact_kernel(field: Field, column: int) -> Callable[[Iterator[pa.RecordBat
             columns = list(batch.columns)
             columns[column] = pa.array(clean, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            give_back()
 
     return kernel
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_bytes
+from .common import give_back, store, text_bytes
 from .components import components
 
 SEED = 42
@@ -75,6 +75,7 @@ def _fingerprint_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             at = offsets.tolist()
             marks = [majority(shingle_hashes(bytes(raw[s:e]), size)) for s, e in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "mark"])
+            give_back()
 
     return kernel
 
@@ -197,6 +198,7 @@ def _similarity_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     mixed = shingles * c
                     marks[k + 1].append(majority(mixed ^ (mixed >> np.uint64(29)) if k else shingles))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, pa.int64()) for m in marks)], ["doc_id", "mark", *_MARKS, "second"])
+            give_back()
 
     return kernel
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, store
+from .common import give_back, new_path, store
 from .tokens import Encoder, by_size
 
 MAGIC = b"EGTOKID1"
@@ -209,6 +209,7 @@ def _write_kernel(folder: str, tokenizer: str, end_id: int) -> Callable[[Iterato
             for some in by_size(texts):
                 ids, offsets = encoder.encode_ended(texts[some], end_id)
                 writer.add(batch.column(0).slice(some.start, some.stop - some.start), ids, offsets)
+            give_back()
         docs, tokens = writer.close()
         yield pa.RecordBatch.from_pydict({"shard": [part], "path": [path], "n_docs": [docs], "n_tokens": [tokens]})
 
