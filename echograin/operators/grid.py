@@ -44,9 +44,9 @@ def rasterize(df: DataFrame, g: Grid, layers: dict[str, tuple[str, str]], backgr
 
 def rasterize_by(df: DataFrame, g: Grid, reduce: Callable, attribute: str, name: str = "value", x: str = "x", y: str = "y") -> DataFrame:
     """As rasterize, by a function of a pandas Series; a cell's values go to one task."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    aggregate = pandas_udf(lambda s: float(reduce(s)), "double", "grouped_agg")
+    aggregate = pandas_udf(lambda s: float(reduce(s)), "double", PandasUDFType.GROUPED_AGG)
     return binned(df, g, x, y).groupBy("row", "col").agg(aggregate(F.col(attribute).cast("double")).alias(name))
 
 
