@@ -209,7 +209,7 @@ def transform_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np
     key = np.zeros(n, np.int64)
     for j in range(7):
         key = key << 9 | round_[j : j + n]
-    have, seed, seeds = 7, 0, key
+    have, seed, seeds = 7, 0, np.zeros(n, np.int64)
     while True:
         order = np.argsort(key)
         new = np.ones(n, bool)
