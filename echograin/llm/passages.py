@@ -141,6 +141,8 @@ class Chunk:
     def __init__(self, anchors: Anchors, data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, buckets: int) -> None:
         self.a, self.data, self.offsets, self.docs = anchors, data, offsets, docs
         self.places, hashes = anchors.find(data, offsets)
+        # Anchors are chosen for their low hashes; only after another mix do they spread evenly over buckets.
+        hashes = _mix(hashes * np.uint64(_BASE))
         self.low = 64 - _BITS - (buckets.bit_length() - 1)
         self.keys, self.key_of, self.counts = np.unique(hashes >> np.uint64(self.low), return_inverse=True, return_counts=True)
         self.cuts = np.searchsorted(self.keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(_BITS))
