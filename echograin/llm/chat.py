@@ -146,13 +146,16 @@ def turns_as_calls(conversations: DataFrame, name: str = "answer") -> DataFrame:
 
     Each call comes after the one two turns before. Other turns stay as they are.
     """
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    # The turn before, by a join on conversation and turn: a conversation of any length is spread over tasks.
+    before = turns.groupBy("conv_id", (F.col("turn") + 1).alias("next")).agg(F.min("role").alias("prior"))
+    before = before.select(F.col("conv_id").alias("its_conv"), "next", "prior")
+    rows = turns.join(before, F.col("conv_id").eqNullSafe(F.col("its_conv")) & (F.col("turn") == F.col("next")), "left")
     key = F.concat(F.lit("c"), F.col("turn"))
-    following = Window.partitionBy("conv_id").orderBy("turn")
-    prior = F.lag("role").over(following)
     call = F.to_json(F.struct(F.array(F.struct(key.alias("id"), F.lit(name).alias("name"), F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")).alias("arguments"), F.array(F.concat(F.lit("c"), F.col("turn") - 2)).alias("after"))).alias("tool_calls")))
     result = F.to_json(F.struct(F.concat(F.lit("c"), F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
-    asked, answered = F.col("role") == "user", (F.col("role") == "assistant") & (F.col("prior") == "user")
-    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("prior", prior)
+    asked = (F.col("role") == "user") & F.col("turn").isNotNull()
+    answered = (F.col("role") == "assistant") & (F.col("prior") == "user")
     return rows.select("conv_id", "turn", F.when(asked, "assistant").when(answered, "tool").otherwise(F.col("role")).alias("role"), F.when(asked, call).when(answered, result).otherwise(F.col("text")).alias("text"))
 
 

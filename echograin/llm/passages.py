@@ -496,4 +496,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     contexts = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_context_task(length, buckets), "bucket int, chunk long, rows binary, docs binary")
     masks = store(contexts.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_compare_task(length), "chunk long, bucket int, kind int, blob binary"), "masks")
     shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return by_chunk.cogroup(replies.unionByName(masks).groupBy("chunk")).applyInArrow(_remove_task(length, buckets, with_text), shape)
+    removed = by_chunk.cogroup(replies.unionByName(masks).groupBy("chunk")).applyInArrow(_remove_task(length, buckets, with_text), shape)
+    # The files stay where they are; only the catalogue's entry goes.
+    spark.sql(f"DROP TABLE {name}")
+    return removed

@@ -76,6 +76,14 @@ def test_turns_as_calls(spark, sf):
         assert json.loads(r["json"]).get("result") == (reply["text"] if answered else None)
 
 
+def test_odd_turns(spark):
+    conv = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", None), (5, None, "user", "x"), (5, 1, None, None), (6, 0, "user", ""), (6, 0, "user", ""), (6, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    got = chat.link(chat.turns_as_calls(conv), queries.ANSWER)
+    assert got.count() == 7
+    assert sorted(r["status"] for r in got.where("conv_id = 6").collect()) == ["duplicate", "invalid", "ok"]
+    assert chat.link(chat.turns_as_calls(conv.where("false")), queries.ANSWER).count() == 0
+
+
 # op4 ----------------------------------------------------------------------------
 
 
