@@ -50,6 +50,17 @@ def forget(spark: SparkSession) -> None:
         fs.delete(path, True)
 
 
+#: What workers keep from one task to the next: dictionaries that modules put here.
+kept: list[dict] = []
+
+
+def start_bare() -> None:
+    """Lets go of what other operators' tasks left in this worker; for kernels that keep nothing themselves."""
+    for cache in kept:
+        cache.clear()
+    give_back()
+
+
 def give_back() -> None:
     """Hands memory that Arrow and the C library hold on to back to the system, so that idle workers are small."""
     pa.default_memory_pool().release_unused()

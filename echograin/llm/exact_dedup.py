@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import start_bare, store
 
 #: Characters of a text that enter the splitters. The content hash follows them, so
 #: texts with a common beginning are still spread.
@@ -88,6 +88,7 @@ def _group_kernel(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         return pa.RecordBatch.from_arrays(columns, schema=_GROUPS)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         part = TaskContext.get().partitionId()
         held: list[pa.Array] = []  # identifiers of the run that is still open
         text: pa.Scalar | None = None
@@ -167,6 +168,7 @@ def _keep_kernel(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         return batch.append_column("__edge", pa.array(np.full(batch.num_rows, edge)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         held: pa.RecordBatch | None = None  # the row that stays of the run that is still open
         first = True
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, start_bare
 
 #: Documents of each language that profiles are learnt from, about.
 TRAIN_DOCS = 2000
@@ -86,6 +86,7 @@ class Profiles:
 
 
 def _count_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    start_bare()
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
@@ -120,6 +121,7 @@ def learn(labelled: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) ->
 
 def _predict_kernel(profiles: Profiles, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             found = [profiles.predict(t) for t in batch.column(text).to_pylist()]
             langs = pa.array([lang for lang, _ in found], pa.string())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, text_bytes
+from .common import give_back, kept, text_bytes
 from .tokens import _Chunks, _Ragged, by_size
 
 RATE, VARIANTS = 0.1, 8
@@ -41,6 +41,7 @@ _NONE = np.int64(1) << 62
 _PLACES = 1 << 20
 
 _models: dict[tuple[str, float, int, int], Merger] = {}
+kept.append(_models)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

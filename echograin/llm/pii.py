@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, start_bare
 from .pii_table import LINES
 
 KINDS = ("email", "ip", "card", "phone")
@@ -321,6 +321,7 @@ def spans_of(texts: list[str], field: Field) -> tuple[list[list[Span]], list[lis
 
 def _span_kernel(field: Field) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             base, every = spans_of(batch.column(1).fill_null("").to_pylist(), field)
             counts = np.zeros((len(base), len(KINDS)), np.int64)
@@ -353,6 +354,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def _redact_kernel(field: Field, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             texts = batch.column(column).to_pylist()
             _, every = spans_of([t or "" for t in texts], field)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, store, text_bytes
+from .common import give_back, start_bare, store, text_bytes
 from .components import components
 
 SEED = 42
@@ -69,6 +69,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def _fingerprint_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             raw = memoryview(data)
@@ -183,6 +184,7 @@ def _similarity_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     odd = [np.uint64(c) for c in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             raw, at = memoryview(data), offsets.tolist()

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import text_bytes
+from .common import kept, text_bytes
 
 #: Different chunks, and their characters, that a worker keeps at most.
-KEPT_CHUNKS, KEPT_CHARS = 600_000, 16_000_000
+KEPT_CHUNKS, KEPT_CHARS = 900_000, 24_000_000
 
 #: White space beyond ASCII, and characters that not all libraries count as white space.
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -32,6 +32,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 _encoders: dict[str, Encoder] = {}
+kept.append(_encoders)
 
 
 class _Ragged:
@@ -273,7 +274,7 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def by_size(texts: list[str], chars: int = 2_000_000):
+def by_size(texts: list[str], chars: int = 3_000_000):
     """Slices of texts of about `chars` characters; a longer text is a slice of its own."""
     begin = held = 0
     for i, t in enumerate(texts):

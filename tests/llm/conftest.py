@@ -17,7 +17,7 @@ def odd(spark):
         (4, " \n\t ", "fr", None, 4, None, "z"),
         (5, long, "en", "a", len(long), 5, None),
         (6, long + "More.", "en", "a", len(long) + 5, 5, None),
-        (7, "été à la plage, où êtes-vous?\n\nIci: a.b@c.de +1 (415) 555-0132 10.0.0.1 4111 1111 1111 1111", "fr", "c", 90, 7, None),
+        (7, "été à la plage, où êtes-vous?\n\nIci: a.b@c.de et +1 (415) 555-0132 ou 10.0.0.1 ou 4111 1111 1111 1111", "fr", "c", 90, 7, None),
         (8, "12345 67890", None, "c", 11, 8, None),
         (9, "x" * 5000, "en", "d", 5000, 9, None),
     ]
