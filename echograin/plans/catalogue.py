@@ -556,7 +556,7 @@ def wave_decode(s, d):
     return w.select("pulse_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query(" SELECT vec_id AS pulse_id, list_position(embedding, list_max(embedding)) - 1 AS place, CAST(list_max(embedding) AS DOUBLE) AS value FROM embeddings")
+@query(" SELECT vec_id AS pulse_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS place, CAST(list_max(embedding) AS DOUBLE) AS value FROM embeddings")
 def wave_peak(s, d):
     w = fixtures.waveforms(s, d).withColumn("p", waveform.peak(F.col("received")))
     return w.select("pulse_id", F.col("p.place").cast("long").alias("place"), F.col("p.value").cast("double").alias("value"))
