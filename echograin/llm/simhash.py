@@ -117,8 +117,12 @@ def near_pairs(marks: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
     table = marks.select("mark", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), value(low, width).alias("part")) for i, (low, width, _) in enumerate(pieces)])).alias("s")).select(
         "s.seg", "s.part", "mark"
     )
-    crowded = store(table.groupBy("seg", "part").count().where(F.col("count") > crowd).select("seg", "part"), "crowded")
-    some = crowded.limit(1).count() > 0
+    # Beyond two bits, a complete fingerprint has too many neighbours to look up: there, a crowded segment value
+    # is compared pair by pair, over as many tasks as the skew join makes of it.
+    some = False
+    if radius <= 2:
+        crowded = store(table.groupBy("seg", "part").count().where(F.col("count") > crowd).select("seg", "part"), "crowded")
+        some = crowded.limit(1).count() > 0
     calm = table.join(crowded, ["seg", "part"], "left_anti") if some else table
     probes = []
     for i, (low, width, inner) in enumerate(pieces):
