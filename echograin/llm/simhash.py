@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, start_bare, store, text_bytes
@@ -165,89 +165,120 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, radius: int = 2,
 
 # Near-duplicates by similarity ------------------------------------------------------
 #
-# Over five-word shingles, two texts of Jaccard similarity 0.8 have fingerprints some ten of 64 bits
-# apart, beyond what small balls reach. Their sets of words hardly differ, though: by four bits or so. So the set of words gives
-# the fingerprint that is looked up, twice over with different hashes so that few pairs escape both, and a fingerprint of 256 bits over the shingles then estimates their similarity.
+# Two sets of shingles of Jaccard similarity s share most of their elements, so that in any one order of all shingles their beginnings
+# share some: that of a set of n is its first n - ceil(s n) + 1. Documents that share none are never compared, and none that are similar
+# enough escape. The order only decides how many are compared: shingles that a sample finds in many documents come last.
 
-#: Bits of 64 that fingerprints of word sets may differ in, and of 256 those of shingles: the angle at Jaccard similarity 0.8
-#: makes 39 on average; two standard deviations of the estimate are granted.
-WORD_RADIUS, SHINGLE_RADIUS = 7, 50
+#: The least Jaccard similarity, as a fraction.
+SIMILARITY = (4, 5)
+#: One document in SAMPLE is looked at for common shingles: those of at least OFTEN documents of it, COMMON of them at most.
+SAMPLE, OFTEN, COMMON = 16, 3, 100_000
 
-_MARKS = ["f0", "f1", "f2", "f3"]
-_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    """The different shingle hashes of each text."""
+    data, offsets = text_bytes(batch.column(1))
+    raw, at = memoryview(data), offsets.tolist()
+    return (np.unique(shingle_hashes(bytes(raw[s:e]), size)) for s, e in zip(at, at[1:]))
 
-def word_set_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the different words, of their letters alone where they have any."""
-    words = {w.translate(None, _NO_LETTERS) or w for w in text.lower().split()}
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays]), pa.int64()))
 
-def _similarity_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    odd = [np.uint64(c) for c in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 
+def _set_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_bare()
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            raw, at = memoryview(data), offsets.tolist()
-            marks: list[list[int]] = [[] for _ in range(6)]
-            for s, e in zip(at, at[1:]):
-                text = bytes(raw[s:e])
-                found = word_set_hashes(text)
-                marks[0].append(majority(found))
-                found = found * odd[1]
-                marks[5].append(majority(found ^ (found >> np.uint64(32))))
-                shingles = np.unique(shingle_hashes(text, size))
-                for k, c in enumerate(odd):
-                    mixed = shingles * c
-                    marks[k + 1].append(majority(mixed ^ (mixed >> np.uint64(29)) if k else shingles))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, pa.int64()) for m in marks)], ["doc_id", "mark", *_MARKS, "second"])
+            sets = list(_sets(batch, size))
+            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists([s.view(np.int64) for s in sets])], ["node", "shingles"])
+            give_back()
+
+    return kernel
+
+
+def _beginning_kernel(size: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each document's set, as its hash, its size and its beginning. common: hashes, the rarest first."""
+    by_hash = np.argsort(common)
+    high, low = SIMILARITY[1], SIMILARITY[0]
+
+    def key(hashes: np.ndarray) -> np.ndarray:
+        """Where a shingle stands in the order of all."""
+        keys = (hashes >> np.uint64(2)).astype(np.int64)
+        if len(common):
+            at = by_hash[np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)]
+            keys = np.where(common[at] == hashes, (1 << 62) + at, keys)
+        return np.sort(keys)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_bare()
+        for batch in batches:
+            nodes, sizes, begins = [], [], []
+            for s in _sets(batch, size):
+                nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                sizes.append(len(s))
+                begins.append(key(s)[: len(s) + 1 + (-low * len(s) // high)] if len(s) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(begins)], ["doc_id", "node", "n", "begin"])
             give_back()
 
     return kernel
 
 
-def _apart(a: str, b: str):
-    total = F.lit(0)
-    for f in _MARKS:
-        total = total + F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}")))
-    return total
+def _common(rows: DataFrame, words: int) -> np.ndarray:
+    """Hashes of shingles that many documents hold, the rarest first: a bounded number, of a sample."""
+    some = rows.where(F.abs(F.xxhash64("doc_id")) % SAMPLE == 0)
+    counts = some.mapInArrow(_set_kernel(words), "node long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count()
+    most = counts.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(COMMON).select("s").toArrow()
+    return most.column("s").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def _similar(shared, n, m):
+    """Do sets of n and m elements that share so many reach the similarity? Over integers."""
+    low, high = SIMILARITY
+    return (low + high) * shared >= low * (n + m)
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes(node, n, begin) whose beginnings don't rule out that they are similar."""
+    low, high = SIMILARITY
+    keys = nodes.select("node", F.posexplode("begin").alias("pos", "key"))
+    # Most shingles are of one document: they go before anything is joined.
+    many = keys.withColumn("docs", F.count("*").over(Window.partitionBy("key"))).where("docs > 1").select("node", "pos", "key")
+    sizes = nodes.select("node", "n", F.element_at("begin", -1).alias("last"), F.size("begin").alias("p")).where("n > 0")
+    keys = store(many.join(sizes, "node"), "shingles")
+    x, y = (keys.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "p", "pos", "last"))) for k in "ab")
+    met = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & (high * F.least("n_a", "n_b") >= low * F.greatest("n_a", "n_b")))
+    found = met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), *(F.first(f"{c}_{k}").alias(f"{c}_{k}") for k in "ab" for c in ("n", "p", "last")), *(F.max(f"pos_{k}").alias(f"pos_{k}") for k in "ab"))
+    # All that is shared up to the end of the beginning that ends first has been counted; what else is shared comes later in both.
+    rest_a = F.col("n_a") - F.when(F.col("last_a") <= F.col("last_b"), F.col("p_a")).otherwise(F.col("pos_a") + 1)
+    rest_b = F.col("n_b") - F.when(F.col("last_b") <= F.col("last_a"), F.col("p_b")).otherwise(F.col("pos_b") + 1)
+    return found.where(_similar(F.col("shared") + F.least(rest_a, rest_b), F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, word_radius: int = WORD_RADIUS, shingle_radius: int = SHINGLE_RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, component_id) of every document that isn't the smallest of its group of near-duplicates.
 
-    Documents of one word-set fingerprint gather around leaders: the smallest identifier, then the smallest of those
-    that are too far from it, and so on. Leaders are linked if both fingerprints are near, and links make groups. Rows
+    Two documents are linked if the Jaccard similarity of their sets of shingles is SIMILARITY at least, and links make groups. All
+    pairs are found, and each is verified by its sets. Equal sets are folded into one before anything is paired. Rows
     without identifier are passed over; rows that repeat an identifier share one fate.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, mark long, " + ", ".join(f"{f} long" for f in [*_MARKS, "second"])
-    prints = store(rows.mapInArrow(_similarity_kernel(words), shape), "similarity-prints")
-    whole = F.struct("doc_id", *_MARKS, "second")
-    left, leaders, members = prints, None, None
-    while True:
-        heads = left.groupBy("mark").agg(F.min(whole).alias("head"))
-        joined = left.join(heads, "mark").withColumn("own", F.struct(*_MARKS))
-        joined = store(joined.withColumn("far", _apart("own", "head") > shingle_radius).select("doc_id", "mark", *_MARKS, "second", "head", "far"), "leaders")
-        near = joined.where("not far").select("doc_id", F.col("head.doc_id").alias("leader"))
-        found = joined.where("not far").select("mark", "head").distinct()
-        members = near if members is None else members.unionByName(near)
-        leaders = found if leaders is None else leaders.unionByName(found)
-        left = joined.where("far").select("doc_id", "mark", *_MARKS, "second")
-        if left.limit(1).count() == 0:
-            break
-    links = None
-    for mark in (F.col("mark"), F.col("head.second")):
-        pairs = near_pairs(leaders.select(mark.alias("mark")).distinct(), word_radius)
-        near = pairs.join(leaders.select(mark.alias("a"), F.col("head").alias("x")), "a").join(leaders.select(mark.alias("b"), F.col("head").alias("y")), "b")
-        near = near.where(_apart("x", "y") <= shingle_radius).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        links = near if links is None else links.unionByName(near)
-    roots = components(links).withColumnRenamed("node", "leader")
-    placed = members.join(roots, "leader", "left").select("doc_id", F.coalesce("root", "leader").alias("component_id"))
-    return placed.where("doc_id <> component_id").distinct()
+    prints = store(rows.mapInArrow(_beginning_kernel(words, _common(rows, words)), "doc_id long, node long, n long, begin array<long>"), "beginnings")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("begin").alias("begin"))
+    pairs = store(_candidates(nodes), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = rows.join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = store(texts.mapInArrow(_set_kernel(words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    near = both.where(_similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
+    # A document is linked to the smallest of its set, and those of similar sets to each other.
+    least = store(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "least")
+    same = prints.join(least, "node").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    near = near.join(least.select(F.col("node").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("node").alias("b"), F.col("least").alias("y")), "b")
+    return components(same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:

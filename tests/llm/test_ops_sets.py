@@ -176,6 +176,47 @@ def test_near_duplicates_by_similarity(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {10 * k for k in range(60)}
 
 
+def shingle_sets(rows):
+    return {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+
+
+def jaccard_groups(rows):
+    """Groups by Jaccard similarity 0.8 of all pairs, compared one by one."""
+    sets = shingle_sets(rows)
+    links = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return groups(links, sets)
+
+
+def random_texts(rng, count):
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    return [[rng.choice(vocabulary) for _ in range(rng.randint(150, 900))] for _ in range(count)], vocabulary
+
+
+def kept_by_brute_force(rows):
+    return {k for k, root in jaccard_groups(rows).items() if k == root}
+
+
+@pytest.mark.parametrize("kind", ["replaced", "appended", "truncated"])
+def test_near_copies_are_all_found(spark, kind):
+    rng = random.Random(kind)
+    rows = []
+    texts, vocabulary = random_texts(rng, 80)
+    for k, words in enumerate(texts):
+        share = rng.uniform(0.79, 0.9)
+        if kind == "appended":
+            other = words + ["new" + rng.choice(vocabulary) for _ in range(round(len(words) * (1 / share - 1)))]
+        elif kind == "truncated":
+            other = words[: round(len(words) * share)]
+        else:
+            other = list(words)
+            for i in rng.sample(range(len(words)), round(len(words) * (1 - share) / 10)):
+                other[i] = "new" + rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = kept_by_brute_force(rows)
+    assert 80 <= len(want) < 120
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 # op9 ----------------------------------------------------------------------------
 
 
