@@ -217,6 +217,20 @@ def test_near_copies_are_all_found(spark, kind):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_similar_texts_stay(spark):
+    rng = random.Random(7)
+    rows = []
+    texts, vocabulary = random_texts(rng, 80)
+    for k, words in enumerate(texts):
+        other = list(words)
+        for i in rng.sample(range(len(words)), round(len(words) * rng.uniform(0.026, 0.06))):
+            other[i] = rng.choice(vocabulary)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    want = kept_by_brute_force(rows)
+    assert len(want) > 150
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
 # op9 ----------------------------------------------------------------------------
 
 
