@@ -231,6 +231,28 @@ def test_similar_texts_stay(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_links_of_every_document_count(spark):
+    """The blocks of B are moved against A, and C is B with an edit: C is near B only."""
+    rng = random.Random(11)
+    rows = []
+    texts, vocabulary = random_texts(rng, 120)
+    for k, words in enumerate(texts):
+        size = max(6, len(words) // rng.randint(8, 24))
+        blocks = [words[i : i + size] for i in range(0, len(words), size)]
+        for _ in range(rng.randint(1, 3)):
+            i, j = rng.sample(range(len(blocks)), 2)
+            blocks[i], blocks[j] = blocks[j], blocks[i]
+        moved = [w for b in blocks for w in b]
+        edited = list(moved)
+        for i in rng.sample(range(len(words)), round(len(words) * rng.uniform(0.012, 0.02))):
+            edited[i] = rng.choice(vocabulary)
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(moved)), (3 * k + 2, " ".join(edited))]
+    sets = shingle_sets(rows)
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    assert sum(near(a, a + 1) and near(a + 1, a + 2) and not near(a, a + 2) for a in range(0, 360, 3)) > 5
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == kept_by_brute_force(rows)
+
+
 # op9 ----------------------------------------------------------------------------
 
 
