@@ -3,13 +3,12 @@
 The text is cut into words, a word taking the spaces before it, and line ends into chunks of
 their own; no piece of the vocabulary reaches across. Within a word, characters are merged
 by agenda: the best-scored pair of neighbours first, the leftmost of equals. A candidate merge that
-enters the agenda is skipped for good if a hash of (seed, variant, left piece, right piece, place) falls below the
-rate. A word's variant, one of VARIANTS, is drawn by a hash of (seed, document, which word of it), so
-that the same word is segmented differently from place to place and from seed to seed, and
-always alike for the same seed, document and place.
+enters the agenda is skipped for good if a hash of (seed, document, which word of it, left piece, right piece, place) falls below the
+rate. So every occurrence of a word is segmented on its own, and always alike for the same seed, document and place.
 
 Short words go through the agenda together, one merge each a round, in numpy; long ones
-by a heap. What a word and variant give is kept, up to a bound, for the worker's life.
+by a heap. What a word gives without skips and the candidates it meets are kept, up to a bound, for the worker's life: an
+occurrence that skips none of them has that result, any other goes through the agenda on its own.
 
 What no piece covers is spelt in byte pieces, as is the sign that stands for the space, so that decoding
 returns the text. Nulls and odd cases: a null or empty text has no pieces; a null identifier is a document like
@@ -29,18 +28,18 @@ from pyspark.sql import functions as F
 from .common import give_back, kept, text_bytes
 from .tokens import _Chunks, _Ragged, by_size
 
-RATE, VARIANTS = 0.1, 8
+RATE = 0.1
 #: Characters of a word beyond which it goes by the heap.
 LONG = 48
 #: Words that go through the agenda together.
 _ROUND = 8192
-#: Words, and words with variant, that a worker keeps at most, about.
-KEPT_WORDS, KEPT = 1_000_000, 2_500_000
+#: Words that a worker keeps at most, about, and occurrences looked at together.
+KEPT_WORDS, _LOOK = 1_000_000, 1 << 16
 SPACE = "▁"
 _NONE = np.int64(1) << 62
 _PLACES = 1 << 20
 
-_models: dict[tuple[str, float, int, int], Merger] = {}
+_models: dict[tuple[str, float, int], Merger] = {}
 kept.append(_models)
 
 
@@ -51,11 +50,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    def __init__(self, path: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, rate: float = RATE, seed: int = 0) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.seed, self.variants = np.uint64(seed & (1 << 64) - 1), variants if rate > 0 else 1
+        self.seed = np.uint64(seed & (1 << 64) - 1)
         self.bar = int(rate * (1 << 53))
         n = model.get_piece_size()
         self.bytes = np.zeros(256, np.int64)
@@ -95,30 +94,33 @@ class Merger:
         self._clear()
 
     @staticmethod
-    def of(path: str, rate: float, seed: int, variants: int) -> Merger:
-        key = (path, rate, seed, variants)
+    def of(path: str, rate: float, seed: int) -> Merger:
+        key = (path, rate, seed)
         if key not in _models:
             _models[key] = Merger(*key)
         return _models[key]
 
     def _clear(self, salt: int = 0) -> None:
-        self.words, self.rows = _Chunks(salt), _Ragged()
-        self.row_of = np.full((1024, self.variants), -1, np.int32)
+        #: Of each word: its pieces without skips, the candidates that this meets (pair and place in one number), and whether it is long.
+        self.words, self.rows, self.met, self.long = _Chunks(salt), _Ragged(), _Ragged(np.int64), np.zeros(0, bool)
 
     # Agenda ----------------------------------------------------------------------
 
-    def _value(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of candidate merges: rank and place in one number (none: very large), and the piece."""
+    def _value(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, mark: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Of candidate merges: rank and place in one number (none: very large), and the piece. mark: of the occurrence; without, none is skipped."""
         key = np.where((left >= 0) & (right >= 0), left * self.wide + right, -1)
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         value = np.where(self.pairs[at] == key, self.ranks[at] * _PLACES + np.minimum(place, _PLACES - 1), _NONE)
-        if self.bar:
-            mark = _mix(key.astype(np.uint64) ^ _mix(self.seed + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)))
-            value[(mark >> np.uint64(11)).astype(np.int64) < self.bar] = _NONE
+        if self.bar and mark is not None:
+            value[self._skipped(key, place, mark)] = _NONE
         return value, self.merged[at]
 
-    def _together(self, symbols: np.ndarray, sizes: np.ndarray, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of words that lie end to end, and how many each has."""
+    def _skipped(self, key: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        drawn = _mix(key.astype(np.uint64) ^ _mix(mark.astype(np.uint64) + place.astype(np.uint64)))
+        return (drawn >> np.uint64(11)).astype(np.int64) < self.bar
+
+    def _together(self, symbols: np.ndarray, sizes: np.ndarray, marks: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of words that lie end to end, and how many each has. met gets the candidates: word, pair and place."""
         n = len(sizes)
         word = np.repeat(np.arange(n), sizes)
         starts = np.cumsum(sizes) - sizes
@@ -127,7 +129,14 @@ class Merger:
         value = np.full(len(symbols), _NONE)
         into = np.zeros(len(symbols), np.int64)
         pair = np.flatnonzero(word[:-1] == word[1:])
-        value[pair], into[pair] = self._value(symbols[pair], symbols[pair + 1], place[pair], variants[word[pair]])
+
+        def enter(left: np.ndarray) -> None:
+            value[left], into[left] = self._value(symbols[left], symbols[left + 1], place[left], None if marks is None else marks[word[left]])
+            if met is not None:
+                left = left[value[left] < _NONE]
+                met.append((word[left], (symbols[left] * self.wide + symbols[left + 1]) * (LONG + 1) + place[left]))
+
+        enter(pair)
         symbols = symbols.copy()
         while len(symbols):
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
@@ -154,23 +163,22 @@ class Merger:
             for left in (at - 1, at):
                 left = left[(left >= 0) & (left + 1 < len(word))]
                 left = left[word[left] == word[left + 1]]
-                value[left], into[left] = self._value(symbols[left], symbols[left + 1], place[left], variants[word[left]])
+                enter(left)
         word, place, symbol = np.concatenate(out_word), np.concatenate(out_place), np.concatenate(out_symbol)
         order = np.lexsort((place, word))
         return symbol[order], np.bincount(word, minlength=n)
 
-    def _by_heap(self, symbols: np.ndarray, variant: int) -> np.ndarray:
+    def _by_heap(self, symbols: np.ndarray, mark: np.ndarray | None) -> np.ndarray:
         """The pieces of one word, by a heap of candidates."""
         n = len(symbols)
         sym = symbols.tolist()
         before, after, age = list(range(-1, n - 1)), [*range(1, n), -1], [0] * n
-        one = np.array([variant])
 
         def candidates(places: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
             if places:
                 p = np.array(places)
                 right = np.array([after[i] for i in places])
-                value, into = self._value(np.array([sym[i] for i in places]), np.array([sym[i] for i in right]), p, np.broadcast_to(one, p.shape))
+                value, into = self._value(np.array([sym[i] for i in places]), np.array([sym[i] for i in right]), p, None if mark is None else np.broadcast_to(mark, p.shape))
                 for v, i, j, m in zip(value.tolist(), places, right.tolist(), into.tolist()):
                     if v < _NONE:
                         yield v // _PLACES, i, j, m, age[i] + age[j]
@@ -190,8 +198,11 @@ class Merger:
                 heapq.heappush(heap, c)
         return np.array([s for s in sym if s is not None], np.int64)
 
-    def segment(self, words: list[str], variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of each word under its variant, end to end, and their lengths."""
+    def segment(self, words: list[str], marks: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of each word, whose occurrence has that mark, end to end, and their lengths. Without marks, nothing is skipped.
+
+        met gets the candidates of short words: the word, and pair and place in one number.
+        """
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbols = self.of_char[points]
@@ -200,15 +211,20 @@ class Merger:
         inside = np.repeat(~long, sizes)
         flat, counts = np.zeros(0, np.int64), np.zeros(len(words), np.int64)
         if inside.any():
-            own, kinds, short = symbols[inside], variants[~long], sizes[~long]
+            own, kinds, short, which = symbols[inside], None if marks is None else marks[~long], sizes[~long], np.flatnonzero(~long)
             ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(short)])
-            parts = [self._together(own[ends[w] : ends[min(w + _ROUND, len(short))]], short[w : w + _ROUND], kinds[w : w + _ROUND]) for w in range(0, len(short), _ROUND)]
+            parts = []
+            for w in range(0, len(short), _ROUND):
+                here: list | None = None if met is None else []
+                parts.append(self._together(own[ends[w] : ends[min(w + _ROUND, len(short))]], short[w : w + _ROUND], None if kinds is None else kinds[w : w + _ROUND], here))
+                if met is not None:
+                    met += [(which[w + k], c) for k, c in here]
             flat, counts[~long] = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
         if long.any():
             parts = np.split(flat, np.cumsum(counts)[:-1])
             ends = np.cumsum(sizes)
             for w in np.flatnonzero(long).tolist():
-                parts[w] = self._by_heap(symbols[ends[w] - sizes[w] : ends[w]], int(variants[w]))
+                parts[w] = self._by_heap(symbols[ends[w] - sizes[w] : ends[w]], None if marks is None else marks[w : w + 1])
                 counts[w] = len(parts[w])
             flat = np.concatenate(parts)
         odd = np.flatnonzero((flat < 0) | (flat >= self.spelt.rows))
@@ -240,7 +256,7 @@ class Merger:
 
     def encode(self, texts: list[str], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All piece ids of texts, end to end, and len(texts) + 1 offsets. docs: a number of each document."""
-        if len(self.words) > KEPT_WORDS or self.rows.rows > KEPT:
+        if len(self.words) > KEPT_WORDS:
             self._clear()
         data, offsets = text_bytes(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
         starts, first = self._cut(data, offsets)
@@ -250,25 +266,48 @@ class Merger:
         while (found := self.words.find(different.dictionary)) is None:
             self._clear(self.words.salt + 1)
         codes = found[0][different.indices.to_numpy()]
-        if len(self.words) > len(self.row_of):
-            more = np.full((2 * len(self.words) - len(self.row_of), self.variants), -1, np.int32)
-            self.row_of = np.concatenate([self.row_of, more])
+        self._learn()
         nth = np.arange(len(codes)) - np.repeat(first[:-1], np.diff(first))
-        mark = _mix(_mix(self.seed ^ np.repeat(docs.astype(np.uint64), np.diff(first))) + nth.astype(np.uint64))
-        variant = (mark % np.uint64(self.variants)).astype(np.int64)
-        rows = self.row_of[codes, variant]
-        if (rows < 0).any():
-            lacking = np.unique(codes[rows < 0] * self.variants + variant[rows < 0])
-            word, var = lacking // self.variants, lacking % self.variants
-            raw, sizes = self.words.rows.take(word)
-            at = np.cumsum(sizes)
-            spelled = pa.LargeStringArray.from_buffers(len(word), pa.py_buffer(np.append(0, at).astype(np.int64)), pa.py_buffer(raw)).to_pylist()
-            self.row_of[word, var] = self.rows.rows + np.arange(len(word))
-            self.rows.add(*self.segment(spelled, var))
-            rows = self.row_of[codes, variant]
-        ids, lengths = self.rows.take(rows)
+        marks = _mix(_mix(self.seed ^ np.repeat(docs.astype(np.uint64), np.diff(first))) + nth.astype(np.uint64))
+        parts = [self._occurrences(codes[w : w + _LOOK], marks[w : w + _LOOK]) for w in range(0, len(codes), _LOOK)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(p for p, _ in parts)])
+        lengths = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
         return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[first]
 
+    def _spelled(self, codes: np.ndarray) -> list[str]:
+        raw, sizes = self.words.rows.take(codes)
+        return pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(raw)).to_pylist()
+
+    def _learn(self) -> None:
+        """What words that came new give without skips."""
+        new = np.arange(self.rows.rows, len(self.words))
+        if len(new) == 0:
+            return
+        spelled = self._spelled(new)
+        met: list = []
+        self.rows.add(*self.segment(spelled, None, met))
+        word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in met)])
+        self.met.add(np.concatenate([np.zeros(0, np.int64), *(c for _, c in met)])[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(new)))
+        self.long = np.append(self.long, [len(w) > LONG for w in spelled])
+
+    def _occurrences(self, codes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of occurrences of words, end to end, and their lengths."""
+        if not self.bar:
+            return self.rows.take(codes)
+        met, counts = self.met.take(codes)
+        of = np.repeat(np.arange(len(codes)), counts)
+        own = self.long[codes]
+        own[of[self._skipped(met // (LONG + 1), met % (LONG + 1), marks[of])]] = True
+        plain, plain_lengths = self.rows.take(codes[~own])
+        if not own.any():
+            return plain, plain_lengths
+        cut, cut_lengths = self.segment(self._spelled(codes[own]), marks[own])
+        lengths = np.zeros(len(codes), np.int64)
+        lengths[own], lengths[~own] = cut_lengths, plain_lengths
+        ids, inside = np.zeros(lengths.sum(), np.uint32), np.repeat(own, lengths)
+        ids[inside], ids[~inside] = cut, plain
+        return ids, lengths
+
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts that pieces spell."""
         raw, lengths = self.spelt.take(ids)
@@ -277,9 +316,9 @@ class Merger:
         return [bytes(view[s + 1 : e]).decode("utf-8", "surrogatepass") if e > s else "" for s, e in zip(at, at[1:])]
 
 
-def _kernel(model: str, rate: float, seed: int, variants: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _kernel(model: str, rate: float, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger.of(model, rate, seed, variants)
+        merger = Merger.of(model, rate, seed)
         for batch in batches:
             texts = batch.column(1).fill_null("").to_pylist()
             for some in by_size(texts):
@@ -294,15 +333,15 @@ def _kernel(model: str, rate: float, seed: int, variants: int) -> Callable[[Iter
     return kernel
 
 
-def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, rate: float = RATE, seed: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, n_pieces, lossless (does decoding give the text?), ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_kernel(model, rate, seed, variants), "doc_id long, n_pieces long, lossless boolean, ids array<int>")
+    return rows.mapInArrow(_kernel(model, rate, seed), "doc_id long, n_pieces long, lossless boolean, ids array<int>")
 
 
 def _decode_kernel(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger.of(model, 0.0, 0, 1)
+        merger = Merger.of(model, 0.0, 0)
         for batch in batches:
             lists = batch.column(1)
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

@@ -116,6 +116,17 @@ def test_agendas_agree(docs, monkeypatch):
     assert np.array_equal(together[0], alone[0]) and np.array_equal(together[1], alone[1])
 
 
+def test_every_occurrence_drops_on_its_own():
+    m = merges.Merger(public("piece_bpe_32k.model"), 0.1, 3)
+    words = ["internationalization", "the"] * 2000
+    ids, offsets = m.encode([" ".join(words), "international " + "x" * 60], np.array([1, 2]))
+    marks = [merges._mix(merges._mix(m.seed ^ np.full(n, d, np.uint64)) + np.arange(n, dtype=np.uint64)) for d, n in ((1, 4000), (2, 2))]
+    want, counts = m.segment([" " + w for w in [*words, "international", "x" * 60]], np.concatenate(marks))
+    assert np.array_equal(ids, want) and offsets.tolist() == [0, counts[:4000].sum(), counts.sum()]
+    pieces = np.split(want, np.cumsum(counts))
+    assert len({tuple(p) for p in pieces[:4000:2]}) > 8
+
+
 # Tokens, op5 and op6 ------------------------------------------------------------
 
 
