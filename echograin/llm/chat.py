@@ -6,11 +6,14 @@ optionally, after: identifiers of calls of the same conversation that it depends
 
 Calls and results are hash-joined by (conversation, identifier). Calls get a level: 0, or one more than the
 highest level among those they depend on. Conversations of usual size are ordered each in one task; those
-with more calls than LOCAL in rounds over the whole table, a level a round, so that no group is ever held at once.
+with more calls than LOCAL in rounds over the whole table, so that no group is ever held at once. A round lets every
+call that waits for one other alone wait for what that one waits for: chains of any length halve in each round.
 Arguments are validated against the tool's schema. Each row is serialised as canonical JSON: keys sorted, no
 blanks, whole floats as integers. The rows of a conversation, by level and then turn and place, are its linked form.
 
-Nulls and odd cases: a null text is an empty message; text that is no such JSON is a plain message; a null conversation
+Nulls and odd cases: a null text is an empty message; text that is no such JSON, or JSON nested deeper than DEEP, is a plain message, never
+an error; arguments in a string that is no JSON, or is nested deeper, stay that string; `after` that is no list of strings is void as far as it
+isn't; a lone surrogate is written as U+FFFD; a schema's unknown type is matched by no value, and a broken pattern by no text; a null conversation
 is a conversation of its own; an identifier that is called twice goes to the earliest call, and the later are "duplicate"; so with
 results; a result without a call is an "orphan"; a call without result is "unanswered"; calls in a cycle, or behind one,
 have level -1 and are "cyclic"; dependencies on unknown calls are void; repeated rows are duplicates; an empty table gives an empty result.
@@ -35,14 +38,35 @@ LOCAL = 10_000
 Schemas = dict[str, dict[str, Any]]
 
 
+#: Levels of nesting that a message's JSON may have.
+DEEP = 200
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def parsed(text: str) -> Any:
+    """The JSON value of text; ValueError if it is none or nested deeper than DEEP."""
+    try:
+        value = json.loads(text)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    level, depth = [value], 0
+    while level := [v for x in level if isinstance(x, (dict, list)) for v in (x.values() if isinstance(x, dict) else x)]:
+        depth += 1
+        if depth > DEEP:
+            raise ValueError("nested too deeply")
+    return value
+
+
 def canonical(value: Any) -> str:
     """JSON with sorted keys, no blanks, and one way to write each number."""
 
     def plain(x: Any) -> Any:
         if isinstance(x, dict):
-            return {str(k): plain(v) for k, v in x.items()}
+            return {plain(str(k)): plain(v) for k, v in x.items()}
         if isinstance(x, list):
             return [plain(v) for v in x]
+        if isinstance(x, str):
+            return _SURROGATE.sub("\ufffd", x)
         if isinstance(x, float):
             if x != x or x in (float("inf"), float("-inf")):
                 return None
@@ -68,7 +92,7 @@ def faults(value: Any, schema: dict[str, Any], where: str = "$") -> list[str]:
     kinds = schema.get("type")
     if kinds is not None:
         kinds = [kinds] if isinstance(kinds, str) else kinds
-        if not any(_TYPES[k](value) for k in kinds):
+        if not any(k in _TYPES and _TYPES[k](value) for k in kinds):
             return [f"{where}: not {'|'.join(kinds)}"]
     out = []
     if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
@@ -90,11 +114,18 @@ def faults(value: Any, schema: dict[str, Any], where: str = "$") -> list[str]:
         out += [f"{where}: too short"] * (sized < schema.get(low, 0)) + [f"{where}: too long"] * (sized > schema.get(high, sized))
     if _TYPES["number"](value):
         out += [f"{where}: too small"] * (value < schema.get("minimum", value)) + [f"{where}: too large"] * (value > schema.get("maximum", value))
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+    if isinstance(value, str) and "pattern" in schema and not _matches(schema["pattern"], value):
         out.append(f"{where}: no match")
     return out
 
 
+def _matches(pattern: str, value: str) -> bool:
+    try:
+        return re.search(pattern, value) is not None
+    except re.error:
+        return False
+
+
 _EVENT = "conv_id long, turn long, part int, kind string, role string, call_id string, name string, body string, after array<string>"
 _SCHEMA = pa.schema(
     [("conv_id", pa.int64()), ("turn", pa.int64()), ("part", pa.int32()), ("kind", pa.string()), ("role", pa.string()), ("call_id", pa.string()), ("name", pa.string()), ("body", pa.string()), ("after", pa.list_(pa.string()))]
@@ -104,14 +135,15 @@ _SCHEMA = pa.schema(
 def _events(conv: int | None, turn: int | None, role: str | None, text: str | None) -> Iterator[tuple]:
     """The message's calls, its result, or itself."""
     text = text or ""
+    clean = lambda x: _SURROGATE.sub("\ufffd", x)
     found: Any = None
     if text.lstrip()[:1] == "{" and ('"tool_calls"' in text or '"tool_call_id"' in text):
         try:
-            found = json.loads(text)
-        except (ValueError, RecursionError):
+            found = parsed(text)
+        except ValueError:
             found = None
     if isinstance(found, dict) and role == "tool" and isinstance(found.get("tool_call_id"), str):
-        yield conv, turn, 0, "result", role, found["tool_call_id"], None, canonical(found.get("content")), None
+        yield conv, turn, 0, "result", role, clean(found["tool_call_id"]), None, canonical(found.get("content")), None
         return
     calls = found.get("tool_calls") if isinstance(found, dict) and role != "tool" else None
     if isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
@@ -119,11 +151,12 @@ def _events(conv: int | None, turn: int | None, role: str | None, text: str | No
             arguments = c.get("arguments", {})
             if isinstance(arguments, str):  # arguments may be JSON within JSON
                 try:
-                    arguments = json.loads(arguments)
+                    arguments = parsed(arguments)
                 except ValueError:
                     pass
-            after = [a for a in c.get("after") or [] if isinstance(a, str)]
-            yield conv, turn, part, "call", role, c["id"], str(c.get("name")), canonical(arguments), after
+            after = c.get("after")
+            after = [clean(a) for a in after if isinstance(a, str)] if isinstance(after, list) else []
+            yield conv, turn, part, "call", role, clean(c["id"]), clean(str(c.get("name"))), canonical(arguments), after
         return
     yield conv, turn, 0, "message", role, None, None, canonical(text), None
 
@@ -183,20 +216,31 @@ def _level_task(calls: pa.Table) -> pa.Table:
 
 
 def _levels_in_rounds(calls: DataFrame) -> DataFrame:
-    """As _level_task, a level a round over the whole table."""
+    """As _level_task, in rounds over the whole table.
+
+    An edge (call, needs, steps) says that the call comes `steps` levels after what it needs, at least; needs is null where that is the
+    beginning. A round passes every edge on: one to a call that itself has a single edge goes on to where that leads. So chains halve, and
+    a call whose needs all have their level gets its own, for then all its edges lead to the beginning. What walks further than there are calls is in
+    or behind a cycle. Rounds: the logarithm of the longest chain, for each time that chains meet again one behind the other.
+    """
     need = calls.select("conv", "call_id", F.explode("after").alias("needs")).distinct()
     known = calls.select("conv", F.col("call_id").alias("needs"))
-    need = store(need.join(known, ["conv", "needs"]), "needs")
-    done = store(calls.select("conv", "call_id").join(need, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level-0")
-    front, every, k = done, done, 0
-    while front.limit(1).count():
-        k += 1
-        settled = front.select("conv", F.col("call_id").alias("needs"))
-        touched = need.join(settled, ["conv", "needs"], "left_semi").select("conv", "call_id").distinct()
-        open_ = need.join(every.select("conv", F.col("call_id").alias("needs")), ["conv", "needs"], "left_anti").select("conv", "call_id")
-        front = store(touched.join(open_, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(k)), f"level-{k}")
-        every = every.unionByName(front)
-    return calls.select("conv", "call_id").join(every, ["conv", "call_id"], "left").select("conv", "call_id", F.coalesce("level", F.lit(-1)).alias("level"))
+    need = need.join(known, ["conv", "needs"]).select("conv", "call_id", "needs", F.lit(1).cast("long").alias("steps"))
+    first = calls.select("conv", "call_id").join(need, ["conv", "call_id"], "left_anti")
+    edges = store(need.unionByName(first.select("conv", "call_id", F.lit(None).cast("string").alias("needs"), F.lit(0).cast("long").alias("steps"))), "edges")
+    sizes = store(calls.groupBy("conv").agg(F.count("*").alias("size")), "sizes")
+    while True:
+        one = edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.first("needs").alias("to"), F.first("steps").alias("more")).where("n = 1")
+        one = one.join(sizes, "conv").where(F.col("more") <= F.col("size")).select("conv", F.col("call_id").alias("needs"), "to", "more", F.lit(True).alias("single"))
+        joined = edges.join(one, ["conv", "needs"], "left").withColumn("moved", F.coalesce("single", F.lit(False)))
+        passed = joined.select("conv", "call_id", F.when(F.col("moved"), F.col("to")).otherwise(F.col("needs")).alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "moved")
+        edges = store(passed.groupBy("conv", "call_id", "needs").agg(F.max("steps").alias("steps"), F.max("moved").alias("moved")), "edges")
+        if edges.where("moved").limit(1).count() == 0:
+            break
+        edges = edges.drop("moved")
+    # Of calls that are settled, all edges lead to the beginning, which makes them one.
+    level = F.when(F.max(F.col("needs").isNotNull()), -1).otherwise(F.max("steps")).cast("int")
+    return edges.groupBy("conv", "call_id").agg(level.alias("level"))
 
 
 def levels(calls: DataFrame, local: int = LOCAL) -> DataFrame:

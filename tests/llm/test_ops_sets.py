@@ -58,6 +58,46 @@ def test_linking(talk, local):
     assert chat.link(talk.where("false"), SCHEMA, local).count() == 0
 
 
+def test_malformed_messages_are_plain(spark):
+    deep = "[" * 3000 + "]" * 3000
+    some = "[" * 150 + "]" * 150
+    texts = [
+        ("assistant", '{"tool_calls": [{"id": "a", "arguments": ' + deep + "}]}", "message"),
+        ("tool", '{"tool_call_id": "a", "content": ' + deep + "}", "message"),
+        ("assistant", json.dumps({"tool_calls": [{"id": "b", "name": "f", "arguments": deep}]}), "call"),
+        ("assistant", json.dumps({"tool_calls": [{"id": "c", "name": "f", "arguments": some}]}), "call"),
+        ("assistant", '{"tool_calls": [{"id": "\\ud800", "name": "\\ud801", "arguments": {"\\udc00": "\\udfff"}}]}', "call"),
+        ("tool", '{"tool_call_id": "\\ud800", "content": "\\ud800 x"}', "result"),
+        ("assistant", json.dumps({"tool_calls": [{"id": "d", "name": "g", "after": 5}]}), "call"),
+        ("assistant", json.dumps({"tool_calls": [{"id": "e", "name": "h", "after": True, "arguments": {"s": "x"}}]}), "call"),
+        ("assistant", json.dumps({"tool_calls": [{"id": "f", "name": None, "after": [1, "e", None], "arguments": None}]}), "call"),
+        ("assistant", '{"tool_calls": {}}', "message"),
+        ("assistant", '{"tool_calls": [{"id": 7}]}', "message"),
+    ]
+    rows = [(1, i, role, text) for i, (role, text, _) in enumerate(texts)]
+    schemas = {"f": {}, "g": {"type": ["strange", "object"]}, "h": {"type": "object", "properties": {"s": {"type": "text"}}}}
+    got = {r["turn"]: r for r in chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    assert [got[i]["kind"] for i in range(len(texts))] == [k for *_, k in texts]
+    assert json.loads(got[2]["json"])["arguments"] == deep and json.loads(got[3]["json"])["arguments"] == json.loads(some)
+    assert got[4]["call_id"] == got[5]["call_id"] == "\ufffd" and json.loads(got[4]["json"])["result"] == "\ufffd x"
+    assert json.loads(got[7]["json"])["faults"] == ["$.s: not text"]
+    assert json.loads(got[6]["json"])["faults"] == [] and got[8]["level"] == 1
+    assert chat.faults("x", {"pattern": "("}) == ["$: no match"]
+
+
+def test_levels_in_rounds(spark):
+    """Chains, meeting chains, cycles and what lies behind them, against one task per conversation."""
+    rng = random.Random(5)
+    rows = [("chain", f"c{i}", [f"c{i - 1}"] if i else []) for i in range(60)]
+    rows += [("ladder", f"{s}{i}", [f"a{i - 1}", f"b{i - 1}"][: 2 if i else 0] if s == "a" else [f"a{i}"]) for i in range(6) for s in "ab"]
+    rows += [("cycle", f"c{i}", [f"c{(i + 1) % 5}"]) for i in range(5)] + [("cycle", "behind", ["c2", "free"]), ("cycle", "free", []), ("cycle", "own", ["own"])]
+    for g in range(6):
+        rows += [(f"random{g}", f"n{i}", [f"n{rng.randrange(30)}" if g % 2 else f"n{rng.randrange(i)}" for _ in range(rng.randrange(3)) if i]) for i in range(30)]
+    calls = spark.createDataFrame(rows, "conv string, call_id string, after array<string>")
+    one, many = ({(r["conv"], r["call_id"]): r["level"] for r in chat.levels(calls, n).collect()} for n in (10_000, 0))
+    assert one == many and one["chain", "c59"] == 59 and one["cycle", "behind"] == -1 and len(one) == len(rows)
+
+
 @settings(max_examples=200)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(), x, max_size=3), max_leaves=8))
 def test_canonical_json_is_stable(value):
