@@ -24,12 +24,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, new_path, store
+from .common import give_back, new_path, open_files, store
 from .tokens import Encoder, by_size
 
 MAGIC = b"EGTOKID1"
@@ -97,13 +96,9 @@ def key_prints(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys ^ _PRINT_SALT) >> np.uint64(32)).astype("<u4")
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
-
-
 class ShardWriter:
     def __init__(self, path: str, width: np.dtype) -> None:
-        files, name = _open(path)
+        files, name = open_files(path)
         files.create_dir(name.rsplit("/", 1)[0], recursive=True)
         self.out, self.width = files.open_output_stream(name), width
         self.keys: list[np.ndarray] = []
@@ -149,7 +144,7 @@ class Shard:
     """A shard's file, read as needed."""
 
     def __init__(self, path: str) -> None:
-        files, name = _open(path)
+        files, name = open_files(path)
         self.file = files.open_input_file(name)
         size = self.file.size()
         length, magic = _TAIL.unpack(self.file.read_at(_TAIL.size, size - _TAIL.size))
@@ -222,7 +217,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     The manifest has a row per shard: shard, path, n_docs, n_tokens, and base, the ids in all shards before it.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's beginning spreads rows without identifier, or that share one, over shards.
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     written = store(ordered.mapInArrow(_write_kernel(folder, tokenizer, end_id), "shard long, path string, n_docs long, n_tokens long"), "manifest")
     # One row a shard, so that one task can add them up.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

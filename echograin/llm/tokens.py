@@ -4,7 +4,8 @@ The library cuts a text at white space, and between letters and marks, before it
 what it makes of a chunk depends on that chunk alone. So a text is cut into chunks, a chunk of letters
 and marks into the two, and the library is given each different one once; its ids
 are kept, up to a bound, for the worker's life, and numpy puts the texts' ids together. Texts with control
-characters that Python and the library class differently go to the library whole.
+characters that Python and the library class differently go to the library whole, and so do
+texts with the string of an added token, which the library finds before it cuts anything.
 """
 
 from __future__ import annotations
@@ -168,15 +169,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         # With a normaliser, white space is dropped and letters are lowered; without, a chunk takes the space before it.
         self.lowers = self.library.normalizer is not None
         self.cut = cut_words if self.lowers else cut_spaced
         self.bare = self.library
         if self.lowers:
             self.bare = Tokenizer.from_file(path)
-            self.bare.encode_special_tokens = True
             self.bare.normalizer = None
+        # In any case of letters: a token may be looked for after the text was lowered.
+        added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        #: What all of them begin with, up to the first letter: most texts don't hold it, which is soon seen.
+        self.opening = os.path.commonprefix([re.match(r"[^\w]*", t).group() for t in added])
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self._clear()
 
@@ -187,6 +191,9 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
+    def _has_added(self, text: str) -> bool:
+        return self.added is not None and self.opening in text and self.added.search(text) is not None
+
     def _clear(self, salt: int = 0) -> None:
         self.chunks, self.of_chunk = _Chunks(salt), _Ragged()
         self.atoms, self.of_atom = _Codes(), _Ragged()
@@ -237,7 +244,7 @@ class Encoder:
         """All ids of texts, end to end, and len(texts) + 1 offsets."""
         if len(self.chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
             self._clear()
-        odd = [i for i, t in enumerate(texts) if _DOUBTFUL.search(t)]
+        odd = [i for i, t in enumerate(texts) if _DOUBTFUL.search(t) or self._has_added(t)]
         usual = texts
         if odd:
             usual = list(texts)
