@@ -5,9 +5,9 @@ on the count of each length alone, a table that can't outgrow the capacity. Only
 table reaches the driver. There, large lengths are cut, in order, into
 groups of equal cardinality and rounded up to each group's largest; the few rounded
 sizes give a configuration programme, solved by column generation; each rounded place is
-given actual lengths of its group, the last so that the sequence is full; and what is left, the small
-ones above all, is placed by best fit, longest first, into the gaps. If best fit alone takes
-fewer sequences, its plan is used. The outcome is a plan over ranks: "of length 310, ranks
+given an actual length of its own group, and the gap after the last, if a small length fills it, that
+small one; and what is left is placed by best fit, longest first, into the gaps.
+The outcome is a plan over ranks: "of length 310, ranks
 9000 to 9999 go to sequences 71000 to 71999 at offset 1500". Pieces get
 ranks among those of equal length in a distributed way, and look their place up in the plan.
 
@@ -32,52 +32,59 @@ from .tokens import Encoder, by_size
 
 #: Rounded sizes that the configuration programme works with.
 GROUPS = 48
-#: Lengths above this share of the capacity are large.
-LARGE = 1 / 16
-#: Tokens that a substituted configuration may leave open.
-SLACK = 2
+#: Lengths above this share of the capacity are large. A configuration's sequence is opened if its gap is as wide, or closed.
+LARGE = 1 / 4
+#: Small lengths up to this share are kept for the best fit at the end, which they make exact.
+LEAST = 1 / 16
+#: Tokens that a gap may have and count as closed.
+SLACK = 1
 #: Rows of one length that one task ranks, about.
 RANKED = 1_000_000
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """Fractional optimum of the configuration programme: (places for each size, how often)."""
+    """Fractional optimum of the configuration programme: (places for each size, how often).
+
+    Revised simplex steps; the inverse of the basis is kept up. The most valuable configuration is an unbounded
+    knapsack over whole lengths, solved place by place for all lengths and sizes at once.
+    """
     k = len(sizes)
-    need = np.array(counts, float)
-    basis = np.diag([capacity // s for s in sizes]).astype(float)
-    size = np.array(sizes)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    need, size = np.array(counts, float), np.array(sizes)
+    basis = np.diag(capacity // size).astype(float)
+    inverse = np.linalg.inv(basis)
+    room = np.arange(capacity + 1)
+    rest = room[:, None] - size
+    fits, rest = rest >= 0, np.maximum(rest, 0)
+    for r in range(1, rounds + 1):
         worth = inverse.sum(0)
-        level = inverse @ need
-        # The most valuable configuration: an unbounded knapsack over whole lengths.
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        order = np.argsort(size)
-        ordered, value = size[order], worth[order]
-        upto = np.searchsorted(ordered, np.arange(capacity + 1), side="right")
-        for c in range(int(ordered[0]), capacity + 1):
-            options = best[c - ordered[: upto[c]]] + value[: upto[c]]
-            top = int(options.argmax())
-            if options[top] > best[c - 1] + 1e-12:
-                best[c], pick[c] = options[top], order[top]
-            else:
-                best[c], pick[c] = best[c - 1], -1
+        best, picks = np.zeros(capacity + 1), []
+        for _ in range(capacity // int(size.min())):
+            options = np.where(fits, best[rest] + worth, -1.0)
+            top = options.argmax(1)
+            more = options[room, top] > best + 1e-12
+            if not more.any():
+                break
+            picks.append(np.where(more, top, -1))
+            best = np.where(more, options[room, top], best)
         if best[capacity] <= 1 + 1e-7:
             break
         column, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-                continue
-            column[pick[c]] += 1
-            c -= int(size[pick[c]])
-        move = inverse @ column
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(move > 1e-9, level / move, np.inf)
+        for pick in reversed(picks):
+            if pick[c] >= 0:
+                column[pick[c]] += 1
+                c -= int(size[pick[c]])
+        move, level = inverse @ column, inverse @ need
+        ratio = np.where(move > 1e-9, level / np.where(move > 1e-9, move, 1.0), np.inf)
         leaves = int(ratio.argmin())
         if not np.isfinite(ratio[leaves]):
             break
         basis[:, leaves] = column
+        if r % 50:
+            row = inverse[leaves] / move[leaves]
+            inverse -= np.outer(move, row)
+            inverse[leaves] = row
+        else:
+            inverse = np.linalg.inv(basis)
     level = np.linalg.inv(basis) @ need
     return [(basis[:, j].astype(int), float(level[j])) for j in range(k) if level[j] > 1e-9]
 
@@ -139,17 +146,14 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> tupl
     if large:
         _group_and_substitute(p, large, groups)
     p.best_fit()
-    plain = _Plan({k: n for k, n in histogram.items() if n}, capacity)
-    plain.best_fit()  # as if no length were large
-    best = min(p, plain, key=lambda q: q.sequences)
-    return best.rows, best.sequences
+    return p.rows, p.sequences
 
 
-def _group_and_substitute(p: _Plan, large: list[tuple[int, int]], groups: int) -> None:
-    """Places large lengths by the configurations of their rounded sizes.
+def _group_and_substitute(p: _Plan, large: list[tuple[int, int]], groups: int) -> list[tuple[int, int]]:
+    """Places large lengths by the configurations of their rounded sizes; returns (rounded, actual) of each place that was filled.
 
-    The last place of a configuration takes the length that fills the sequence, to within
-    SLACK. Where none is left, the lengths chosen so far stay for best fit.
+    Each place takes a length of its own group: the longest there is, but for the last place the longest with which the sequence is
+    closed, by a small length if need be, or stays wide open. Where there is none, the lengths chosen so far stay for best fit.
     """
     share = -(-sum(n for _, n in large) // groups)
     members: list[list[int]] = []  # per group: its lengths, longest first
@@ -160,37 +164,43 @@ def _group_and_substitute(p: _Plan, large: list[tuple[int, int]], groups: int) -
             counts.append(0)
         members[-1].append(length)
         counts[-1] += n
-    free = dict(large)
+    wide, least = int(LARGE * p.capacity), int(LEAST * p.capacity)
+    free, filled = dict(large), []
+
+    def filler(gap: int) -> int | None:
+        """The small length for a gap, 0 if it needs none; None if nothing closes it."""
+        if gap <= SLACK or gap >= wide:
+            return 0
+        return next((k for k in range(gap, max(least, gap - SLACK - 1), -1) if p.left.get(k)), None)
+
     for places, often in sorted(configurations([m[0] for m in members], counts, p.capacity), key=lambda x: -x[1]):
         many = int(often + 1e-6)
         slots = [g for g, n in enumerate(places) for _ in range(n)]
         while many:
-            taken: Counter[int] = Counter()
+            chosen: list[int] = []
             for g in slots[:-1]:
-                length = next((k for k in members[g] if free[k] > taken[k]), 0)
-                if not length:
-                    break
-                taken[length] += 1
-            else:
-                room = p.capacity - sum(k * n for k, n in taken.items())
-                length = next((k for k in range(room, room - SLACK - 1, -1) if free.get(k, 0) > taken[k]), 0)
-                fits = length > 0
-                taken[length] += fits
-                step = min([many, *(free[k] // n for k, n in taken.items() if n)])
-                if fits:
-                    seq, off = p.open(step), 0
-                    for k, n in taken.items():
-                        p.put(k, n * step, n, seq, off)
-                        off += n * k
-                    p.spare(p.capacity - off, seq, step)
-                elif not any(taken.values()):
-                    break
-                for k, n in taken.items():
-                    if n:
-                        free[k] -= n * step
-                many -= step
-                continue
-            break
+                chosen += [k for k in members[g] if free[k] > chosen.count(k)][:1]
+            if len(chosen) < len(slots) - 1:
+                break
+            room = p.capacity - sum(chosen)
+            last = next(((k, f) for k in members[slots[-1]] if free[k] > chosen.count(k) and (f := filler(room - k)) is not None), None)
+            if last is None and not chosen:
+                break
+            taken = Counter([*chosen, last[0]] if last else chosen)
+            step = min([many, *(free[k] // n for k, n in taken.items())])
+            if last:
+                if last[1]:
+                    step = min(step, p.left[last[1]])
+                seq, off = p.open(step), 0
+                for k, n in [*taken.items(), *([(last[1], 1)] if last[1] else [])]:
+                    p.put(k, n * step, n, seq, off)
+                    off += n * k
+                p.spare(p.capacity - off, seq, step)
+                filled += [(members[g][0], k) for g, k in zip(slots, [*chosen, last[0]])]
+            for k, n in taken.items():
+                free[k] -= n * step
+            many -= step
+    return filled
 
 
 def _piece_kernel(tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -18,9 +18,7 @@ from echograin.llm.tokens import Encoder, public
 
 
 def library(name):
-    t = Tokenizer.from_file(public(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public(name))
 
 
 # op1 ----------------------------------------------------------------------------
@@ -203,6 +201,26 @@ def test_plan_places_everything_once(histogram):
     assert placed == histogram and (n == 0 or used.max() <= 100)
 
 
+def test_places_hold_lengths_of_their_group():
+    rng = np.random.default_rng(3)
+    lengths, n = np.unique(np.minimum(rng.lognormal(6.4, 0.8, 20_000).astype(int) + 2, 2048), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), n.tolist()))
+    p = packing._Plan(histogram, 2048)
+    large = [(k, p.left[k]) for k in sorted(p.left, reverse=True) if 512 < k < 2048]
+    filled = packing._group_and_substitute(p, large, packing.GROUPS)
+    heads = sorted({k for k, _ in filled}, reverse=True)
+    bounds, held, share = [], 0, -(-sum(n for _, n in large) // packing.GROUPS)
+    for k, n in large:  # the groups, once more
+        if not bounds or held >= share:
+            bounds.append(k)
+            held = 0
+        held += n
+    assert filled and set(heads) <= set(bounds)
+    for rounded, actual in filled:
+        assert rounded == min(b for b in bounds if b >= actual)
+    assert packing.plan(histogram, 2048)[1] <= -(-int((lengths * n).sum()) // 2048) * 1.002
+
+
 # op7 ----------------------------------------------------------------------------
 
 BASE = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
