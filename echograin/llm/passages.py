@@ -37,6 +37,8 @@ from .common import give_back, new_path, store, text_bytes
 
 #: Bytes of a chunk, about, and symbols of one transform.
 CHUNK, TRANSFORM = 2 << 20, 1 << 17
+#: Bytes of the table, as stored, whose anchors one bucket takes, about; there are as many buckets as shuffle partitions at least.
+BUCKET_BYTES = 256 << 20
 #: Bits of a hash that are compared within a bucket.
 _BITS = 34
 _BLOCK = 1 << 15
@@ -482,21 +484,24 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     if not 8 <= length <= 64:
         raise ValueError("length is 8 to 64")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
     buckets = 1 << max(0, (parts - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbered = rows.mapInArrow(_number, "doc_id long, text string, chunk long, row int")
     name = f"echograin_{uuid.uuid4().hex}"
-    numbered.write.bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
-    by_chunk = texts.groupBy("chunk")
-    # One bucket a task: neither fewer, larger tasks nor uneven ones.
-    hashes = by_chunk.applyInArrow(_hash_task(length, buckets), "bucket int, chunk long, keys binary, twice binary")
-    replies = store(hashes.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_repeat_task, "chunk long, bucket int, kind int, blob binary"), "repeats")
-    contexts = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_context_task(length, buckets), "bucket int, chunk long, rows binary, docs binary")
-    masks = store(contexts.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_compare_task(length), "chunk long, bucket int, kind int, blob binary"), "masks")
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    removed = by_chunk.cogroup(replies.unionByName(masks).groupBy("chunk")).applyInArrow(_remove_task(length, buckets, with_text), shape)
-    # The files stay where they are; only the catalogue's entry goes.
-    spark.sql(f"DROP TABLE {name}")
-    return removed
+    try:
+        numbered.write.bucketBy(parts, "chunk").option("path", new_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
+        texts = spark.table(name)
+        by_chunk = texts.groupBy("chunk")
+        # One bucket a task: neither fewer, larger tasks nor uneven ones.
+        hashes = by_chunk.applyInArrow(_hash_task(length, buckets), "bucket int, chunk long, keys binary, twice binary")
+        replies = store(hashes.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_repeat_task, "chunk long, bucket int, kind int, blob binary"), "repeats")
+        contexts = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(_context_task(length, buckets), "bucket int, chunk long, rows binary, docs binary")
+        masks = store(contexts.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(_compare_task(length), "chunk long, bucket int, kind int, blob binary"), "masks")
+        shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+        removed = by_chunk.cogroup(replies.unionByName(masks).groupBy("chunk")).applyInArrow(_remove_task(length, buckets, with_text), shape)
+        return removed
+    finally:
+        # The files stay where they are; only the catalogue's entry goes.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
