@@ -9,17 +9,21 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors reach: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made, and then kept in the session's settings.
+    Only where the session names none and runs on one machine, as in tests, is a temporary
+    folder made, and then kept in the session's settings; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = "file://" + tempfile.mkdtemp(prefix="echograin-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -50,6 +54,14 @@ def forget(spark: SparkSession) -> None:
         fs.delete(path, True)
 
 
+def open_files(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path in it; Hadoop's names for object stores are taken too."""
+    for known in ("s3a://", "s3n://"):
+        if uri.startswith(known):
+            uri = "s3://" + uri[len(known) :]
+    return fs.FileSystem.from_uri(uri)
+
+
 #: What workers keep from one task to the next: dictionaries that modules put here.
 kept: list[dict] = []
 

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import start_bare, store
 
@@ -124,6 +125,11 @@ def _group_kernel(keep: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return kernel
 
 
+def _last_choice(ident: Column, keep: str) -> Column:
+    """An ordering key that puts a null identifier behind all others, for the least or the greatest to be taken."""
+    return ident.isNotNull() if keep == "largest" else ident.isNull()
+
+
 def duplicate_groups(docs: DataFrame, keep: str = "smallest", normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -141,7 +147,7 @@ def duplicate_groups(docs: DataFrame, keep: str = "smallest", normalise: Callabl
     found = store(found, "content-sort")
     inner = found.where("frag is null").select("doc_id", "keep_id", "group_size", "kept", "sha")
     best = (F.max if keep == "largest" else F.min)(
-        F.struct(F.col("keep_id").isNull().__ne__(F.lit(keep == "largest")).alias("void"), "keep_id", "frag")
+        F.struct(_last_choice(F.col("keep_id"), keep).alias("void"), "keep_id", "frag")
     )
     # As many rows as there are runs at partition borders: two a partition at most.
     border = (
@@ -213,10 +219,10 @@ def drop_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     )
     # The text is in __row too; it is taken out there and put back at the end.
     slim = rows.withColumns({"__void": F.col("__row.text").isNull(), "__row": F.col("__row").dropFields("text")})
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema)
-    found = store(content_sorted(slim, "__text", "__id", keep).mapInArrow(_keep_kernel(keep), shape + ", __edge boolean"), "content-kept")
+    shape = StructType([*slim.schema, StructField("__edge", BooleanType())])
+    found = store(content_sorted(slim, "__text", "__id", keep).mapInArrow(_keep_kernel(keep), shape), "content-kept")
     whole = F.struct(*[F.col(c) for c in slim.columns])
-    order = F.struct(F.col("__id").isNull().__ne__(F.lit(keep == "largest")), F.col("__id"))
+    order = F.struct(_last_choice(F.col("__id"), keep), F.col("__id"))
     pick = (F.max_by if keep == "largest" else F.min_by)(whole, order)
     outer = found.where("__edge").groupBy("__text").agg(pick.alias("__one")).select("__one.*")
     text = F.when(~F.col("__void"), F.col("__text"))

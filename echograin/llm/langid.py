@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import give_back, start_bare
 
@@ -133,8 +134,8 @@ def _predict_kernel(profiles: Profiles, text: int) -> Callable[[Iterator[pa.Reco
 
 def predict(rows: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """rows with two columns more: lang_pred and score, 0 to 1."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_predict_kernel(profiles, rows.columns.index(text)), shape + ", lang_pred string, score double")
+    shape = StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_predict_kernel(profiles, rows.columns.index(text)), shape)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import give_back, start_bare
 from .pii_table import LINES
@@ -369,5 +370,5 @@ def _redact_kernel(field: Field, column: int) -> Callable[[Iterator[pa.RecordBat
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in the text replaced; all other columns as they were."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    shape = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema])
     return docs.mapInArrow(_redact_kernel(train(), docs.columns.index(text)), shape)
