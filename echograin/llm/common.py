@@ -6,11 +6,13 @@ import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,6 +64,23 @@ def open_files(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever its characters, as an expression takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], shape: StructType) -> DataFrame:
+    """mapInArrow with columns by place, so that their names may hold any characters, dots too."""
+    places = [f"c{i}" for i in range(len(shape))]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, places)
+
+    given = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return given.mapInArrow(placed, StructType([StructField(n, f.dataType) for n, f in zip(places, shape)])).toDF(*shape.names)
+
+
 #: What workers keep from one task to the next: dictionaries that modules put here.
 kept: list[dict] = []
 

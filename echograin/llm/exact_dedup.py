@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import start_bare, store
+from .common import quoted, start_bare, store
 
 #: Characters of a text that enter the splitters. The content hash follows them, so
 #: texts with a common beginning are still spread.
@@ -213,7 +213,7 @@ def drop_duplicates(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """
     columns = docs.columns
     rows = docs.select(
-        F.struct(*[docs[c] for c in columns]).alias("__row"),
+        F.struct(*[docs[quoted(c)].alias(c) for c in columns]).alias("__row"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__text"),
         docs["doc_id"].cast("long").alias("__id"),
     )

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import give_back, start_bare
+from .common import give_back, map_rows, start_bare
 
 #: Documents of each language that profiles are learnt from, about.
 TRAIN_DOCS = 2000
@@ -135,7 +135,7 @@ def _predict_kernel(profiles: Profiles, text: int) -> Callable[[Iterator[pa.Reco
 def predict(rows: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """rows with two columns more: lang_pred and score, 0 to 1."""
     shape = StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_predict_kernel(profiles, rows.columns.index(text)), shape)
+    return map_rows(rows, _predict_kernel(profiles, rows.columns.index(text)), shape)
 
 
 def held_out(doc_id: str = "doc_id"):

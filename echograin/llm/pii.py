@@ -1,10 +1,11 @@
 """Personal data: base patterns, and a linear-chain conditional random field that adds to them.
 
 The base patterns find e-mail addresses, IP addresses, payment cards and telephone numbers that are
-written in the usual way. The field finds others by the shape of their words: it was trained by
+written in the usual way. The field finds others by the shape of their words and by the words around them: it was trained by
 maximum likelihood on the small table in pii_table, and Viterbi decodes it, for many
 runs of words at once, in numpy. Words without a digit, an @ or a bracketed "at" or "dot" can't be part of personal data in
-this model, so that a text falls into short runs of the others, which is exact. What the
+this model. A run is made of words that aren't plain in this sense, and of BEFORE plain words before
+and AFTER after each of them, so what lies outside of runs can't change a label. What the
 field proposes counts if it passes the checks of its kind and touches no base span.
 
 Nulls and odd cases: a null text counts as empty and has no span; a null identifier stays null; repeated
@@ -13,6 +14,7 @@ rows each give a row; an empty table gives an empty result. Positions count code
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import give_back, start_bare
+from .common import give_back, map_rows, start_bare
 from .pii_table import LINES
 
 KINDS = ("email", "ip", "card", "phone")
@@ -87,7 +89,7 @@ def base_spans(text: str) -> list[Span]:
 #: Outside; then beginning and inside of each kind.
 LABELS = 1 + 2 * len(KINDS)
 _CUE = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.I)
-_SPACE = re.compile(r"\s")
+_SPACE, _WORD = re.compile(r"\s"), re.compile(r"\S+")
 _STRIP_L, _STRIP_R = "\"'*#$%&|<{[,;:=", ".,;:!?\"'*#$%&|>}="
 _LETTERS, _DIGITS = re.compile("[^\\W\\d_]+"), re.compile("[0-9]")
 
@@ -106,21 +108,42 @@ def _core(word: str) -> tuple[int, int]:
     return begin, end
 
 
-def features(word: str) -> list[str]:
-    """What the field sees of a word: its shape, exactly and roughly, and its digits."""
+#: Plain words that a run has before and after each word that isn't.
+BEFORE, AFTER = 2, 1
+
+
+def _own(word: str) -> tuple[list[str], str]:
+    """What the field sees of a word alone: its shape, exactly and roughly, and its digits; and how its neighbours see it."""
     begin, end = _core(word)
     core = word[begin:end]
+    if not _CUE.search(word):
+        name = core.lower() if len(core) <= 24 else "long"
+        return ["bias", "plain", "word " + name], name
     exact = _DIGITS.sub("d", _LETTERS.sub("x", core))
     rough = re.sub("d+", "d", exact)
+    frame = re.sub("[xd._%+-]+", "w", exact)
     digits = exact.count("d")
     return [
         "bias",
         "exact " + (exact if len(exact) <= 24 else "long"),
         "rough " + (rough if len(rough) <= 24 else "long"),
+        "frame " + (frame if len(frame) <= 24 else "long"),
         f"digits {min(digits, 20)}",
-        "obfuscated" if re.search(r"[\[(](?:at|dot|\.)[\])]", core, re.I) else "plain",
+        "obfuscated" if re.search(r"[\[(](?:at|dot|\.)[\])]", core, re.I) else "usual",
         "hex" if digits and re.search("[a-fA-F]", core) else "decimal",
-    ]
+    ], "#"
+
+
+def features(words: list[str]) -> list[list[str]]:
+    """What the field sees of each word of a run: the word itself, the two before it and the one after it."""
+    own = [_own(w) for w in words]
+    names = ["^", "^", *(n for _, n in own), "$"]
+    out = []
+    for t, (seen, name) in enumerate(own):
+        around = [f"before {names[t + 1]}", f"two before {names[t]}", f"after {names[t + 3]}"]
+        # Context tells of words that may be personal data; plain ones are outside anyway.
+        out.append(seen + around if name == "#" else seen)
+    return out
 
 
 def _candidates(text: str) -> list[tuple[int, int]]:
@@ -137,16 +160,43 @@ def _candidates(text: str) -> list[tuple[int, int]]:
 
 
 def _runs(text: str, words: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Words with nothing but white space between them, together."""
+    """The words, with those around them, in runs that have nothing but white space between their words."""
     runs: list[list[tuple[int, int]]] = []
-    for begin, end in words:
-        if runs and text[runs[-1][-1][1] : begin].isspace():
-            runs[-1].append((begin, end))
+    for k, (begin, end) in enumerate(words):
+        # Up to where the word before ends, or what its run took after it.
+        floor = runs[-1][-1][1] if runs else 0
+        ahead: list[tuple[int, int]] = []
+        at = begin
+        while len(ahead) < BEFORE and (found := _word_before(text, at, floor)):
+            ahead.insert(0, found)
+            at = found[0]
+        if runs and text[floor:at].isspace():
+            runs[-1] += [*ahead, (begin, end)]
         else:
-            runs.append([(begin, end)])
+            runs.append([*ahead, (begin, end)])
+        ceiling = words[k + 1][0] if k + 1 < len(words) else len(text)
+        at = end
+        for _ in range(AFTER):
+            if found := _word_after(text, at, ceiling):
+                runs[-1].append(found)
+                at = found[1]
     return runs
 
 
+def _word_before(text: str, end: int, floor: int) -> tuple[int, int] | None:
+    while end > floor and text[end - 1].isspace():
+        end -= 1
+    begin = end
+    while begin > floor and not text[begin - 1].isspace():
+        begin -= 1
+    return (begin, end) if begin < end else None
+
+
+def _word_after(text: str, begin: int, ceiling: int) -> tuple[int, int] | None:
+    found = _WORD.search(text, begin, ceiling)
+    return found.span() if found else None
+
+
 def _labelled_runs() -> list[tuple[list[str], list[int]]]:
     """The table as runs of words with labels."""
     rows = []
@@ -183,10 +233,14 @@ class Field:
 
     def __init__(self, index: dict[str, int], emit: np.ndarray, step: np.ndarray) -> None:
         self.index, self.emit, self.step = index, emit, step
-        self.known: dict[str, np.ndarray] = {}
 
-    def scores(self, word: str) -> np.ndarray:
-        return sum((self.emit[self.index[f]] for f in features(word) if f in self.index), np.zeros(LABELS))
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The weight of each label for each word of a run."""
+        out = np.zeros((len(words), LABELS))
+        for t, seen in enumerate(features(words)):
+            known = [self.index[f] for f in seen if f in self.index]
+            out[t] = self.emit[known].sum(0)
+        return out
 
     def decode(self, runs: list[list[str]]) -> list[np.ndarray]:
         """The best labels of each run, all runs at once, step by step."""
@@ -196,11 +250,12 @@ class Field:
         order = np.argsort(-lengths, kind="stable")
         longest = int(lengths.max())
         alive = [int((lengths >= t + 1).sum()) for t in range(longest)]
+        scores = [self.scores(r) for r in runs]
         best = np.zeros((len(runs), LABELS))
         back: list[np.ndarray] = []
         for t in range(longest):
             n = alive[t]
-            emitted = np.array([self.scores(runs[i][t]) for i in order[:n]])
+            emitted = np.array([scores[i][t] for i in order[:n]])
             if t == 0:
                 best[:n] = emitted + self.step[LABELS]
                 back.append(np.zeros((n, LABELS), np.int8))
@@ -221,21 +276,22 @@ class Field:
         return labels
 
 
+@functools.cache
 def train(rounds: int = 300, penalty: float = 0.02) -> Field:
     """Maximum likelihood with a quadratic penalty, by gradient steps on the whole table."""
     rows = _labelled_runs()
+    seen = [features(words) for words, _ in rows]
     index: dict[str, int] = {}
-    for words, _ in rows:
-        for w in words:
-            for f in features(w):
-                index.setdefault(f, len(index))
+    for word in (f for run in seen for f in run):
+        for f in word:
+            index.setdefault(f, len(index))
     longest = max(len(w) for w, _ in rows)
-    x = np.zeros((len(rows), longest, len(index)))
+    # The features of each word, filled up with one that has no weight.
+    x = np.full((len(rows), longest, max(len(f) for run in seen for f in run)), len(index))
     y = np.full((len(rows), longest), -1)
-    for i, (words, labels) in enumerate(rows):
-        for t, w in enumerate(words):
-            for f in features(w):
-                x[i, t, index[f]] += 1
+    for i, (_, labels) in enumerate(rows):
+        for t, word in enumerate(seen[i]):
+            x[i, t, : len(word)] = [index[f] for f in word]
             y[i, t] = labels[t]
     barred = np.where(_allowed(), 0.0, -1e4)
     emit, step = np.zeros((len(index), LABELS)), np.zeros((LABELS + 1, LABELS))
@@ -249,7 +305,7 @@ def train(rounds: int = 300, penalty: float = 0.02) -> Field:
         return np.log(np.exp(a - top).sum(axis)) + top.squeeze(axis)
 
     for r in range(1, rounds + 1):
-        score, move = x @ emit, step + barred
+        score, move = np.vstack([emit, np.zeros(LABELS)])[x].sum(2), step + barred
         ahead = [score[:, 0] + move[LABELS]]
         for t in range(1, longest):
             on = log_sum(ahead[-1][:, :, None] + move[None, :LABELS], 1) + score[:, t]
@@ -260,7 +316,8 @@ def train(rounds: int = 300, penalty: float = 0.02) -> Field:
             on = log_sum(move[None, :LABELS] + (score[:, t] + behind[0])[:, None, :], 2)
             behind.insert(0, np.where(live[:, t, None], on, behind[0]))
         chance = np.stack([np.exp(ahead[t] + behind[t] - total[:, None]) for t in range(longest)], 1) * live[..., None]
-        d_emit = np.einsum("itf,itl->fl", x, gold - chance) - penalty * emit
+        miss = np.repeat((gold - chance).reshape(-1, LABELS), x.shape[2], axis=0)
+        d_emit = np.stack([np.bincount(x.ravel(), miss[:, k], len(index) + 1)[:-1] for k in range(LABELS)], 1) - penalty * emit
         d_step = -penalty * step
         d_step[LABELS] += (gold[:, 0] - chance[:, 0]).sum(0)
         for t in range(1, longest):
@@ -371,4 +428,4 @@ def _redact_kernel(field: Field, column: int) -> Callable[[Iterator[pa.RecordBat
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with personal data in the text replaced; all other columns as they were."""
     shape = StructType([StructField(f.name, StringType() if f.name == text else f.dataType) for f in docs.schema])
-    return docs.mapInArrow(_redact_kernel(train(), docs.columns.index(text)), shape)
+    return map_rows(docs, _redact_kernel(train(), docs.columns.index(text)), shape)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, start_bare, store, text_bytes
+from .common import give_back, quoted, start_bare, store, text_bytes
 from .components import components
 
 SEED = 42
@@ -284,4 +284,4 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     """docs with one document of each group of near-duplicates, that of the smallest identifier."""
     gone = store(near_duplicates(docs, words).select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

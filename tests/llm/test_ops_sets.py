@@ -7,11 +7,14 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from echograin.llm import ball_tree, chat, components, exact_dedup, passages, queries, simhash
+from echograin.llm import ball_tree, chat, components, exact_dedup, passages, pii, queries, simhash
+from echograin.llm.tokens import public
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -394,6 +397,64 @@ def test_pipeline(spark, sf, docs, odd, empty):
             out = stage(spark, df, sf)
             assert name == "packing" or out.columns == df.columns
             out.count()
+    strange = odd.withColumns({"my col": F.lit(1), "a.b": F.lit("x"), "__row": F.lit(2), "s": F.struct(F.lit(1).alias("a-b"), F.lit("t").alias("c.d e"))})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, strange, sf)
+        assert name == "packing" or out.columns == strange.columns
+        out.count()
     kept = corpus_pipeline.language_id(spark, docs, sf)
     assert kept.count() == docs.count()
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, odd, sf).collect()} == {1, None, 5, 6, 7, 9}
+
+
+def test_pipeline_by_brute_force(spark, sf, docs):
+    """Each stage on the stage before it, against plain Python."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rng = random.Random(7)
+    for i, (_, text) in enumerate(rows[:40]):
+        words = text.split()
+        if len(words) >= 60:
+            at = rng.randrange(len(words))
+            rows.append((100_000 + i, " ".join([*words[:at], "changed", *words[at + 1 :]])))
+        rows += [(200_000 + i, text), (300_000 + i, "12 34 :: 56")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    stage = dict(corpus_pipeline.STAGES)
+    plain = lambda df: sorted((r["doc_id"], r["text"]) for r in df.collect())
+
+    kept = stage["language_id"](spark, given, sf)
+    assert plain(kept) == sorted(r for r in rows if any(c.isalpha() for c in r[1]))
+
+    least = {}
+    for i, text in plain(kept):
+        least.setdefault(text, i)
+    exact = stage["exact_dedup"](spark, kept, sf)
+    assert plain(exact) == sorted((i, t) for t, i in least.items())
+
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.encode().lower().decode().split()) else set() for i, t in plain(exact)}
+    group = {i: i for i in sets}
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    near = stage["near_dedup"](spark, exact, sf)
+    assert [i for i, _ in plain(near)] == sorted(set(group.values())) and len(set(group.values())) < len(ids)
+
+    clean = stage["personal_data"](spark, near, sf)
+    before, after = dict(plain(near)), dict(plain(clean))
+    field = pii.train()
+    for i, text in before.items():
+        _, every = pii.spans_of([text], field)
+        parts, at = [], 0
+        for start, kind, end in every[0]:
+            parts += [text[at:start], "<" + pii.KINDS[kind].upper() + ">"] if start >= at else []
+            at = max(at, end)
+        assert after[i] == "".join(parts) + text[at:]
+    assert before != after and before.keys() == after.keys()
+
+    encode = Tokenizer.from_file(public("word_bpe_49k.json")).encode
+    want = sorted((i, k) for i, t in after.items() for k in range(-(-(len(encode(t, add_special_tokens=False).ids) + 1) // 2048)))
+    packed = stage["packing"](spark, clean, sf).collect()
+    assert sorted((r["doc_id"], r["piece"]) for r in packed) == want
