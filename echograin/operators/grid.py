@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.columns import column_of, in_box, row_of
 from ..model import Extent, FunctionUnsupported, Grid
+from .pulses import start_index
 
 #: Aggregates that a raster can ask for by name.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -44,10 +47,12 @@ def rasterize(df: DataFrame, g: Grid, layers: dict[str, tuple[str, str]], backgr
 
 def rasterize_by(df: DataFrame, g: Grid, reduce: Callable, attribute: str, name: str = "value", x: str = "x", y: str = "y") -> DataFrame:
     """As rasterize, by a function of a pandas Series; a cell's values go to one task."""
-    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    aggregate = pandas_udf(lambda s: float(reduce(s)), "double", PandasUDFType.GROUPED_AGG)
-    return binned(df, g, x, y).groupBy("row", "col").agg(aggregate(F.col(attribute).cast("double")).alias(name))
+    def one(key: tuple, cell: pa.Table) -> pa.Table:
+        return pa.table({"row": [key[0].as_py()], "col": [key[1].as_py()], name: [float(reduce(cell["__v"].to_pandas()))]})
+
+    out = binned(df, g, x, y).select("row", "col", F.col(attribute).cast("double").alias("__v"))
+    return out.groupBy("row", "col").applyInArrow(one, StructType([StructField("row", LongType()), StructField("col", LongType()), StructField(name, DoubleType())]))
 
 
 def lowest(df: DataFrame, by: list[str], key: list[str], keep: list[str]) -> DataFrame:
@@ -57,10 +62,9 @@ def lowest(df: DataFrame, by: list[str], key: list[str], keep: list[str]) -> Dat
 
 
 def bin_index(df: DataFrame, g: Grid, x: str = "x", y: str = "y") -> DataFrame:
-    """row, col, count, start: where each cell's items begin once sorted by cell. As many rows as cells."""
-    counts = binned(df, g, x, y).groupBy("row", "col").agg(F.count("*").alias("n"))
-    before = Window.orderBy("row", "col").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("row", "col", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    """row, col, n, start: where each cell's items begin once sorted by cell. Cells are added up in blocks."""
+    counts = binned(df, g, x, y).groupBy("row", "col").agg(F.count("*").alias("n")).withColumn("__cell", F.col("row") * g.columns + F.col("col"))
+    return start_index(counts, "__cell").select("row", "col", "n", "start")
 
 
 def height_bins(df: DataFrame, g: Grid, step: float, bottom: float = 0.0, z: str = "z") -> DataFrame:
@@ -80,7 +84,7 @@ def default_block(e: Extent, size: float, most: float = 200.0) -> int:
 
 
 def with_halo(df: DataFrame, g: Grid, block: int, margin: int, x: str = "x", y: str = "y") -> DataFrame:
-    """df copied to each tile that has the cell within `margin` cells; core tells the tile's own. Copies are at most 9."""
+    """df copied to each tile that has the cell within `margin` cells; core tells the tile's own. Copies are at most (2 ceil(margin / block) + 1) squared."""
     b = binned(df, g, x, y)
 
     def reach(c: str, n: int) -> Column:
@@ -105,12 +109,27 @@ def header(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def checksum(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row per column: an order-free digest of its values, nulls included."""
-    sums = df.agg(*[F.sum(F.pmod(F.xxhash64(F.lit(c), F.col(c)), F.lit(1 << 31))).alias(c) for c in columns], F.count("*").alias("__n"))
+    """A row per column: an order-free digest of its values, nulls included.
+
+    A value is written in full (numbers with fractions as %.16e), and the first 32 bits of its MD5 are added up.
+    """
+
+    def written(c: str) -> Column:
+        number = df.schema[c].dataType.typeName() in ("double", "float")
+        return F.format_string("%.16e", F.col(c).cast("double")) if number else F.col(c).cast("string")
+
+    sums = df.agg(*[F.sum(F.conv(F.substring(F.md5(F.when(F.col(c).isNull(), "null").otherwise(written(c)).cast("binary")), 1, 8), 16, 10).cast("long")).alias(c) for c in columns], F.count("*").alias("__n"))
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("digest"), F.col("__n").alias("n")) for c in columns]))
     return sums.select(pairs.alias("s")).select("s.*")
 
 
+def differing(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """A row per column of two tables: are their digests and counts the same?"""
+    one, other = checksum(a, columns), checksum(b, columns)
+    joined = one.join(other.select("column", F.col("digest").alias("__d"), F.col("n").alias("__n")), "column")
+    return joined.select("column", ((F.col("digest").eqNullSafe(F.col("__d"))) & (F.col("n") == F.col("__n"))).alias("same"))
+
+
 def outside(df: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
     """A row per column: how many values lie outside its limits, and its extremes."""
     stats = df.agg(*[F.struct(F.count_if((F.col(c) < low) | (F.col(c) > high)).alias("bad"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high")).alias(c) for c, (low, high) in limits.items()])

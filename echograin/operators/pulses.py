@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..model import PulseIndexUnsupported
 
 #: Identifiers to a block, where a running total or a run crosses the whole table.
 BLOCK = 1 << 16
+#: Records that a pulse announces at most.
+MOST = 256
 
 
 def points_by_pulse(pulses: DataFrame, points: DataFrame, fields: list[str]) -> DataFrame:
@@ -71,22 +76,72 @@ def build_pulses(records: DataFrame, order: str, returns: str = "return_number",
     return start_index(starts, order, "__start", block).withColumn("pulse", F.col("start") + F.col("__start") - 1).drop("start", "__start")
 
 
-def build_pulses_strictly(records: DataFrame, order: str, returns: str, group: str) -> DataFrame:
-    """As build_pulses for records of any kind, file by file: a pulse takes as many records as its first one announces."""
-    shape = records.schema.simpleString()[7:-1]
+def build_pulses_strictly(records: DataFrame, order: str, returns: str, group: str, block: int = BLOCK) -> DataFrame:
+    """As build_pulses for records of any kind, file by file: a pulse takes as many records as its first one announces.
 
-    def walk(pdf):
-        pdf = pdf.sort_values(order)
-        pulse, left, number, nth = -1, 0, [], []
-        for announced in pdf[returns]:
-            if left <= 0:
-                pulse, left, k = pulse + 1, max(1, int(announced)), 0
-            number.append(pulse)
-            nth.append(k := k + 1)
-            left -= 1
-        return pdf.assign(pulse=number, nth=nth)
-
-    return records.groupBy(group).applyInPandas(walk, ", ".join(f.replace(":", " ", 1) for f in shape.split(",")) + ", pulse long, nth long")
+    Adds pulse (from 0, file by file) and nth (from 1). Records come in blocks of `order`. Each block tells, for any number of records that
+    it may owe to the pulse before it, how many pulses begin in it and how many records it leaves owing; a file's blocks are
+    then put end to end by those answers, a few numbers each, and each block is numbered with what it does owe.
+    An announcement of less than 1, or null, counts as 1, of more than MOST as MOST.
+    """
+    names = {n: f"__{n}" for n in ("block", "owed", "base", "done")}
+    blocked = records.withColumn(names["block"], F.floor(F.col(order) / block))
+    slim = blocked.select(F.col(group).alias("g"), F.col(names["block"]).alias("b"), F.col(order).alias("o"), F.greatest(F.lit(1), F.least(F.lit(MOST), F.coalesce(F.col(returns).cast("int"), F.lit(1)))).alias("n"))
+
+    def answers(t: pa.Table) -> pa.Table:
+        take = t["n"].to_numpy()[np.argsort(t["o"].to_numpy(), kind="stable")]
+        size = len(take)
+        at = np.arange(size + MOST)  # places beyond the block are what it leaves owing
+        to, begun, last = at.copy(), np.zeros(len(at), np.int64), np.full(len(at), -1)
+        to[:size] += take
+        begun[:size], last[:size] = 1, at[:size]
+        for _ in range(size.bit_length()):
+            begun = begun + begun[to]
+            last = np.where(last[to] >= 0, last[to], last)
+            to = to[to]
+        owing = np.arange(MOST)
+        return pa.table({"g": t["g"][:1], "b": t["b"][:1], "size": [size], "left": [(to[owing] - size).clip(0).tolist()], "begun": [begun[owing].tolist()], "since": [np.where(last[owing] >= 0, size - last[owing], -1).tolist()]})
+
+    kind = records.schema[group].dataType
+    shape = StructType([StructField("g", kind), StructField("b", LongType()), StructField("size", LongType()), *(StructField(c, ArrayType(LongType())) for c in ("left", "begun", "since"))])
+    told = slim.groupBy("g", "b").applyInArrow(lambda t: answers(t), shape)
+
+    def chain(t: pa.Table) -> pa.Table:
+        t = t.sort_by("b")
+        owed, base, done, out = 0, 0, 0, []
+        for size, left, begun, since in zip(*(t[c].to_pylist() for c in ("size", "left", "begun", "since"))):
+            out.append((owed, base, done))
+            if owed >= size:
+                owed, done = owed - size, done + size
+            else:
+                done = since[owed] if since[owed] >= 0 else done + size
+                owed, base = left[owed], base + begun[owed]
+        columns = [pa.array(list(c), pa.int64()) for c in zip(*out)]
+        return pa.table([t["g"], t["b"], *columns], ["g", "b", "owed", "base", "done"])
+
+    starts = told.groupBy("g").applyInArrow(lambda t: chain(t), StructType([StructField("g", kind), *(StructField(c, LongType()) for c in ("b", "owed", "base", "done"))]))
+
+    def number(t: pa.Table, known: pa.Table) -> pa.Table:
+        if t.num_rows == 0:
+            return pa.table([t["g"], t["o"], pa.array([], pa.int64()), pa.array([], pa.int64())], ["g", "o", "pulse", "nth"])
+        t = t.sort_by("o")
+        size, owed, base, done = t.num_rows, *(known[c][0].as_py() for c in ("owed", "base", "done"))
+        jumps = [np.append(np.minimum(np.arange(size) + t["n"].to_numpy(), size), size)]
+        while len(jumps) < size.bit_length():
+            jumps.append(jumps[-1][jumps[-1]])
+        begins = np.zeros(size + 1, bool)
+        begins[min(owed, size)] = True
+        for jump in reversed(jumps):
+            begins[jump[begins]] = True
+        begins = begins[:size]
+        at = np.arange(size)
+        since = np.maximum.accumulate(np.where(begins, at, -1))
+        return pa.table([t["g"], t["o"], pa.array(base - 1 + np.cumsum(begins)), pa.array(np.where(since >= 0, at - since + 1, done + at + 1))], ["g", "o", "pulse", "nth"])
+
+    out = StructType([StructField("g", kind), StructField("o", records.schema[order].dataType), StructField("pulse", LongType()), StructField("nth", LongType())])
+    numbered = slim.groupBy("g", "b").cogroup(starts.groupBy("g", "b")).applyInArrow(lambda a, b: number(a, b), out)
+    same = records[group].eqNullSafe(numbered["g"]) & (records[order] == numbered["o"])
+    return records.join(numbered, same).drop("g", "o")
 
 
 def regroup(records: DataFrame, ident: str = "id", target: str = "target_index") -> DataFrame:
