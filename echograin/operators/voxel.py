@@ -87,13 +87,13 @@ def account(origin: np.ndarray, zenith: np.ndarray, azimuth: np.ndarray, returns
     heading = np.column_stack([np.sin(zen) * np.sin(az), np.sin(zen) * np.cos(az), np.cos(zen)])
     n = len(zenith)
     counts = np.array([len(r) for r in returns], np.int64)
-    weight = np.where(counts > 0, 1.0 / np.maximum(counts, 1), 0.0)
+    share = np.maximum(counts, 1)  # whole numbers until the end: what is left of a ray is nought, not nearly so
     total = v.nx * v.ny * v.nz
     # How many returns each ray has in a voxel, found by one number for the two.
     flat = np.concatenate(returns) if n else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), counts)
     keys, many = np.unique((owner * total + flat)[flat >= 0], return_counts=True)
-    miss, hidden, below = np.ones(n), np.zeros(n), np.zeros(n, bool)
+    met, below = np.zeros(n, np.int64), np.zeros(n, bool)
     cells, sums = [], []
     for rays, cell in trace(origin, heading, v):
         if ground is not None:
@@ -102,11 +102,11 @@ def account(origin: np.ndarray, zenith: np.ndarray, azimuth: np.ndarray, returns
         at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
         k = np.where(keys[at] == key, many[at], 0) if len(keys) else np.zeros(len(rays), np.int64)
         clear = ~below[rays]
-        hit = k * weight[rays] * clear
-        hidden[rays] += hit
-        miss[rays] -= hit
+        hit = k * clear
+        met[rays] += hit
         cells.append(cell)
-        sums.append(np.column_stack([hit, np.where(clear, miss[rays], 0.0), np.where(clear, hidden[rays], 1.0)]))
+        whole = share[rays]
+        sums.append(np.column_stack([hit / whole, np.where(clear, (whole - met[rays]) / whole, 0.0), np.where(clear, met[rays] / whole, 1.0)]))
     if not cells:
         return np.zeros(0, np.int64), np.zeros((0, 3))
     cell, per = np.concatenate(cells), np.concatenate(sums)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import Grid, NonSpatialProcessing
+from ..model import Extent, Grid, NonSpatialProcessing
 from ..operators.grid import with_halo
+from ..session import setting
 
 
 @dataclass
@@ -20,14 +23,47 @@ class Controls:
     overlap: int = 0
     grid: Grid | None = None
 
+    @staticmethod
+    def of(spark: SparkSession, **given) -> Controls:
+        """Controls with the session's defaults, spark.echograin.window and spark.echograin.overlap, where nothing is given."""
+        defaults = {"window": setting(spark, "window", int, 256), "overlap": setting(spark, "overlap", int, 0)}
+        return Controls(**(defaults | given))
+
+
+@dataclass(frozen=True)
+class Block:
+    """What a function that takes two arguments is told of its block: its cells, its extent, and the coordinates of its cells' centres."""
+
+    row: int
+    column: int
+    rows: int
+    columns: int
+    extent: Extent
+    x: np.ndarray
+    y: np.ndarray
+
+    @staticmethod
+    def of(g: Grid, window: int, tile_row: int, tile_column: int) -> Block:
+        row, column = tile_row * window, tile_column * window
+        rows, columns = min(window, g.rows - row), min(window, g.columns - column)
+        x0, y1 = g.x_min + column * g.size, g.y_max - row * g.size
+        e = Extent(x0, x0 + columns * g.size, y1 - rows * g.size, y1)
+        return Block(row, column, rows, columns, e, x0 + g.size * (np.arange(columns) + 0.5), y1 - g.size * (np.arange(rows) + 0.5))
+
 
 def process(df: DataFrame, function: Callable, schema: str, controls: Controls | None = None) -> DataFrame:
     """function(pandas frame) for every block; frames have tile_row, tile_col and core when there is a grid, else block.
 
+    With a grid, a function of two arguments gets the Block as the second.
+
     A block is what one task holds, so the window bounds its size; for what needs no state over a block, use column functions.
     """
     c = controls or Controls()
     if c.grid is not None:
+        g, window = c.grid, c.window
+        if len(inspect.signature(function).parameters) > 1:
+            plain = function
+            function = lambda pdf: plain(pdf, Block.of(g, window, int(pdf["tile_row"].iloc[0]), int(pdf["tile_col"].iloc[0])))
         return with_halo(df, c.grid, c.window, c.overlap).groupBy("tile_row", "tile_col").applyInPandas(function, schema)
     if c.overlap:
         raise NonSpatialProcessing("an overlap needs a grid")

@@ -368,6 +368,15 @@ def nearest_fill(s, d):
     return raster.nearest_fill(_sparse(s, d), G5, "v", 4)
 
 
+_NEAREST = """, cell AS (SELECT r."row", c.col FROM (SELECT unnest(range(12)) AS "row") r, (SELECT unnest(range(20)) AS col) c)
+SELECT cell."row", cell.col, arg_min(s.v, ((s."row" - cell."row") * (s."row" - cell."row") + (s.col - cell.col) * (s.col - cell.col), s."row", s.col)) AS v FROM cell, sparse s GROUP BY ALL"""
+
+
+@query(_SPARSE + _NEAREST)
+def nearest_fill_all(s, d):
+    return raster.nearest_fill(_sparse(s, d), G5, "v")
+
+
 _FOCAL = 'SELECT a."row", a.col, {f}(c.v) AS v FROM {t} a JOIN {t} c ON (a."row" - c."row") * (a."row" - c."row") + (a.col - c.col) * (a.col - c.col) <= 4 GROUP BY ALL'
 _LOW = ', low AS (SELECT "row", col, min(z) AS v FROM b WHERE classification = 3 GROUP BY ALL)'
 
@@ -386,32 +395,48 @@ def focal_opening(s, d):
     return raster.opening(_low(s, d), "v", 2)
 
 
-@query()
-def pmf_ground(s, d):
-    return raster.ground_surface(grid.rasterize(P(s, d), G2, {"low": ("min", "z")}), G2, "low", raster.windows(1, 5), tile=16)
+@query(_LOW + " " + _FOCAL.format(f="max", t="low").replace("<= 4", "<= 20.25"))
+def focal_wide(s, d):
+    return raster.focal(_low(s, d), "v", 4.5, "max", tile=7)
+
 
+def _pmf_sql() -> str:
+    """Fill, then openings one after the other, by joins of all cells with their neighbours; edges are mirrored."""
+    mirror = "CASE WHEN {0} < 0 THEN -1 - ({0}) WHEN {0} >= {1} THEN 2 * {1} - 1 - ({0}) ELSE {0} END"
+    low = """, low2 AS (SELECT CAST(floor((60 - y) / 2) AS BIGINT) AS r, CAST(floor(x / 2) AS BIGINT) AS c, min(z) AS v FROM p WHERE x >= 0 AND x < 100 AND y > 0 AND y <= 60 GROUP BY ALL),
+cell AS (SELECT r, c FROM (SELECT unnest(range(30)) AS r), (SELECT unnest(range(50)) AS c)),
+s0 AS MATERIALIZED (SELECT cell.r, cell.c, coalesce(any_value(o.v), arg_min(l.v, ((l.r - cell.r) * (l.r - cell.r) + (l.c - cell.c) * (l.c - cell.c), l.r, l.c))) AS v
+FROM cell CROSS JOIN low2 l LEFT JOIN low2 o ON o.r = cell.r AND o.c = cell.c GROUP BY cell.r, cell.c)"""
+    out, now = low, "s0"
+    for k, n in enumerate([0, *raster.windows(1, 5)[:-1]]):
+        near = f"(SELECT a.r, a.c, {{0}}(b.v {{1}} CASE WHEN dr * dr + dc * dc <= {n * n} THEN 1 ELSE 0 END) AS v FROM {{2}} a, (SELECT unnest(range(-{n}, {n} + 1)) AS dr), (SELECT unnest(range(-{n}, {n} + 1)) AS dc), {{2}} b WHERE b.r = {mirror.format('a.r + dr', 30)} AND b.c = {mirror.format('a.c + dc', 50)} GROUP BY a.r, a.c)"
+        out += f", e{k} AS MATERIALIZED {near.format('min', '-', now)}, d{k} AS MATERIALIZED {near.format('max', '+', f'e{k}')}, s{k + 1} AS MATERIALIZED (SELECT r, c, least(x.v, y.v) AS v FROM {now} x JOIN d{k} y USING (r, c))"
+        now = f"s{k + 1}"
+    return out + f' SELECT r AS "row", c AS col, CASE WHEN abs(x.v - y.v) <= 0.5 THEN x.v ELSE y.v END AS ground FROM s0 x JOIN {now} y USING (r, c)'
 
-_OFFERS = """, few AS (SELECT x, y, z FROM p WHERE z >= 49 AND classification = 1), cell AS (SELECT r."row", c.col FROM (SELECT unnest(range(12)) AS "row") r, (SELECT unnest(range(20)) AS col) c),
-off AS (SELECT cell."row", cell.col, x, y, z, (x - (2.5 + col * 5)) * (x - (2.5 + col * 5)) + (y - (57.5 - "row" * 5)) * (y - (57.5 - "row" * 5)) AS far FROM cell, few)"""
 
+@query(_pmf_sql())
+def pmf_ground(s, d):
+    return raster.ground_surface(grid.rasterize(P(s, d), G2, {"low": ("min", "z")}), G2, "low", raster.windows(1, 5), tile=16)
 
-def _few(s, d):
-    return P(s, d).where("z >= 49 AND classification = 1").select("x", "y", "z")
+
+_OFFERS = """, cell AS (SELECT r."row", c.col FROM (SELECT unnest(range(12)) AS "row") r, (SELECT unnest(range(20)) AS col) c),
+off AS (SELECT cell."row", cell.col, x, y, z, (x - (2.5 + col * 5)) * (x - (2.5 + col * 5)) + (y - (57.5 - "row" * 5)) * (y - (57.5 - "row" * 5)) AS far FROM cell, p)"""
 
 
 @query(_OFFERS + ' SELECT "row", col, arg_min(z, (far, x, y, z)) AS z FROM off WHERE far <= 100 GROUP BY ALL')
 def interp_nearest(s, d):
-    return interpolate.interpolate(_few(s, d), G5, "nearest", reach=2)
+    return interpolate.interpolate(P(s, d).select("x", "y", "z"), G5, "nearest", reach=2)
 
 
 @query(_OFFERS + ' SELECT "row", col, round(sum(z / pow(greatest(sqrt(far), 1e-6), 2)) / sum(1 / pow(greatest(sqrt(far), 1e-6), 2)), 6) AS z FROM off WHERE far <= 100 GROUP BY ALL')
 def interp_idw(s, d):
-    return interpolate.interpolate(_few(s, d), G5, "idw", reach=2).withColumn("z", F.round("z", 6))
+    return interpolate.interpolate(P(s, d).select("x", "y", "z"), G5, "idw", reach=2).withColumn("z", F.round("z", 6))
 
 
 @query()
 def interp_linear(s, d):
-    return interpolate.interpolate(_few(s, d), G5, "linear")
+    return interpolate.interpolate(P(s, d).select("x", "y", "z"), G5, "linear", tile=4)
 
 
 # Profiles -----------------------------------------------------------------------
@@ -486,10 +511,27 @@ def plane_fit_huber(s, d):
 
 # Voxels -------------------------------------------------------------------------
 
-V = voxel.Voxels(0.0, 0.0, 0.0, 10.0, 10, 6, 6)
+#: A box that no ray's corner cases fall on.
+T = voxel.Voxels(-3.37, -2.61, -0.23, 10.0, 11, 7, 6)
+
+_SLAB = """CASE WHEN d{a} <> 0 THEN {least}(({lo} + 10 * {i} - {o}) / d{a}, ({lo} + 10 * {i} + 10 - {o}) / d{a}) WHEN {o} >= {lo} + 10 * {i} AND {o} < {lo} + 10 * {i} + 10 THEN {free} ELSE {none} END"""
+
+
+def _slab(least: str) -> str:
+    ends = ("-1e300", "1e300") if least == "least" else ("1e300", "-1e300")
+    return ", ".join(_SLAB.format(a=a, least=least, lo=f"({lo}::DOUBLE)", i=i, o=f"({o}::DOUBLE)", free=ends[0], none=ends[1]) for a, lo, i, o in (("x", T.x, "i", 0.0), ("y", T.y, "j", 0.0), ("z", T.z, "k", 1.5)))
+
 
-_VOX = """, v AS (SELECT *, CAST(floor(x / 10) + 10 * floor(y / 10) + 60 * floor(z / 10) AS BIGINT) AS vidx, pulse_id % 3 AS scan FROM p WHERE x < 100 AND y >= 0 AND y < 60 AND z >= 0 AND z < 60),
-cnt AS (SELECT scan, vidx, CAST(count(*) FILTER (classification <= 3) AS DOUBLE) AS hits, CAST(count(*) FILTER (classification BETWEEN 4 AND 5) AS DOUBLE) AS miss, CAST(count(*) FILTER (classification > 5) AS DOUBLE) AS occl FROM v GROUP BY ALL),
+# Every ray against every voxel.
+_VOX = f""", ray AS (SELECT pulse_id, pulse_id % 3 AS scan, sin(radians(zenith)) * CASE WHEN azimuth = 0 THEN 0 ELSE sin(radians(azimuth)) END AS dx, sin(radians(zenith)) * cos(radians(azimuth)) AS dy, cos(radians(zenith)) AS dz FROM u),
+box AS (SELECT i, j, k, i + 11 * j + 77 * k AS vidx FROM (SELECT unnest(range(11)) AS i), (SELECT unnest(range(7)) AS j), (SELECT unnest(range(6)) AS k)),
+via AS (SELECT pulse_id, scan, vidx, greatest({_slab("least")}, 0.0) AS t0, least({_slab("greatest")}) AS t1 FROM ray, box),
+own AS (SELECT pulse_id, CAST(floor((x - (-3.37)) / 10) + 11 * floor((y - (-2.61)) / 10) + 77 * floor((z - (-0.23)) / 10) AS BIGINT) AS vidx, count(*) AS k FROM p
+        WHERE x >= -3.37 AND x < 106.63 AND y >= -2.61 AND y < 67.39 AND z >= -0.23 AND z < 59.77 GROUP BY ALL),
+many AS (SELECT pulse_id, count(*) AS n FROM p GROUP BY pulse_id),
+met AS (SELECT v.pulse_id, v.scan, v.vidx, coalesce(k, 0) AS k, coalesce(n, 0) AS n, greatest(coalesce(n, 0), 1) AS share, sum(coalesce(k, 0)) OVER (PARTITION BY v.pulse_id ORDER BY t0) AS upto
+        FROM via v LEFT JOIN own ON own.pulse_id = v.pulse_id AND own.vidx = v.vidx LEFT JOIN many ON many.pulse_id = v.pulse_id WHERE t0 < t1),
+cnt AS (SELECT scan, vidx, sum(k / share) AS hits, sum((share - upto) / share) AS miss, sum(upto / share) AS occl FROM met GROUP BY ALL),
 m AS (SELECT *, miss + hits AS shots FROM cnt),
 sm AS (SELECT vidx, CAST(sum(CASE WHEN shots > 0 THEN 1 ELSE 0 END) AS BIGINT) AS scans, sum(CASE WHEN shots > 0 THEN (1 - miss / nullif(shots, 0)) * (shots / nullif(shots + occl, 0)) ELSE 0 END) AS part,
        sum(CASE WHEN shots > 0 THEN shots / nullif(shots + occl, 0) ELSE 0 END) AS wtot, max(CASE WHEN hits > 0 THEN 5 WHEN miss > 0 THEN 4 WHEN occl > 0 THEN 3 ELSE 2 END) AS class FROM m GROUP BY vidx),
@@ -497,24 +539,25 @@ su AS (SELECT vidx, scans, CASE WHEN wtot > 0 THEN part / wtot ELSE 0 END AS cov
 
 
 def _counts(s, d):
-    v = voxel.cell_of(P(s, d), V).withColumn("scan", F.col("pulse_id") % 3)
-    k = F.col("classification")
-    return v.groupBy("scan", "vidx").agg(*[F.count_if(c).cast("double").alias(n) for n, c in (("hits", k <= 3), ("miss", k.between(4, 5)), ("occl", k > 5))])
+    return voxel.traverse(U(s, d).withColumn("scan", F.col("pulse_id") % 3), P(s, d), T, by="scan")
 
 
-@query(_VOX + "SELECT scan, vidx, hits, miss, occl FROM cnt")
+_SIX = "round(hits, 6) AS hits, round(miss, 6) AS miss, round(occl, 6) AS occl"
+
+
+@query(_VOX + f"SELECT scan, vidx, {_SIX} FROM cnt")
 def voxel_hits(s, d):
-    return _counts(s, d)
+    return _rounded(_counts(s, d), "hits", "miss", "occl")
 
 
-@query(_VOX + "SELECT scan, vidx, round(CASE WHEN shots > 0 THEN miss / shots ELSE 9999 END, 9) AS pgap, round(CASE WHEN shots > 0 THEN shots / (shots + occl) ELSE 0 END, 9) AS w FROM m")
+@query(_VOX + "SELECT scan, vidx, round(CASE WHEN shots > 0 THEN miss / shots ELSE 9999 END, 6) AS pgap, round(CASE WHEN shots > 0 THEN shots / (shots + occl) ELSE 0 END, 6) AS w FROM m")
 def voxel_scan_metrics(s, d):
-    return voxel.scan_metrics(_counts(s, d)).select("scan", "vidx", F.round("pgap", 9).alias("pgap"), F.round("w", 9).alias("w"))
+    return voxel.scan_metrics(_counts(s, d)).select("scan", "vidx", F.round("pgap", 6).alias("pgap"), F.round("w", 6).alias("w"))
 
 
-@query(_VOX + "SELECT vidx, scans, round(cover, 9) AS cover FROM su")
+@query(_VOX + "SELECT vidx, scans, round(cover, 6) AS cover FROM su")
 def voxel_summary(s, d):
-    return voxel.summary(_counts(s, d)).select("vidx", "scans", F.round("cover", 9).alias("cover"))
+    return voxel.summary(_counts(s, d)).select("vidx", "scans", F.round("cover", 6).alias("cover"))
 
 
 @query(_VOX + "SELECT class, count(*) AS n FROM su GROUP BY class")
@@ -522,20 +565,20 @@ def voxel_class(s, d):
     return voxel.summary(_counts(s, d)).groupBy(F.col("class").cast("long").alias("class")).agg(F.count("*").alias("n"))
 
 
-@query(_VOX + """, cell AS (SELECT a.i, k.k FROM (SELECT DISTINCT vidx % 60 AS i FROM su) a, (SELECT unnest(range(6)) AS k) k), q AS (SELECT i, k, coalesce(cover, 0.0) AS q FROM cell LEFT JOIN su ON su.vidx = i + 60 * k),
-top AS (SELECT CAST(floor(x / 10) + 10 * floor(y / 10) AS BIGINT) AS i, max(CAST(floor(z / 10) AS BIGINT)) AS k FROM p WHERE classification = 2 AND z < 20 AND x < 50 AND y < 60 GROUP BY ALL)
-SELECT q.i + 60 * q.k AS vidx, round(CASE WHEN q.k <= coalesce(top.k, -1) THEN 9999 ELSE 1 - (SELECT product(1 - o.q) FROM q o WHERE o.i = q.i AND o.k >= q.k) END, 6) AS cover FROM q LEFT JOIN top ON top.i = q.i""")
+@query(_VOX + """, cell AS (SELECT a.i, k.k FROM (SELECT DISTINCT vidx % 77 AS i FROM su) a, (SELECT unnest(range(6)) AS k) k), q AS (SELECT i, k, coalesce(cover, 0.0) AS q FROM cell LEFT JOIN su ON su.vidx = i + 77 * k),
+top AS (SELECT CAST(floor((x - (-3.37)) / 10) + 11 * floor((y - (-2.61)) / 10) AS BIGINT) AS i, max(CAST(floor((z - (-0.23)) / 10) AS BIGINT)) AS k FROM p WHERE classification = 2 GROUP BY ALL)
+SELECT q.i + 77 * q.k AS vidx, round(CASE WHEN q.k <= coalesce(top.k, -1) THEN 9999 ELSE 1 - (SELECT product(1 - o.q) FROM q o WHERE o.i = q.i AND o.k >= q.k) END, 6) AS cover FROM q LEFT JOIN top ON top.i = q.i""")
 def voxel_cover(s, d):
-    solid = voxel.cell_of(P(s, d).where("classification = 2 AND z < 20 AND x < 50 AND y < 60"), V).select("vidx").distinct()
+    solid = voxel.cell_of(P(s, d).where("classification = 2"), T).select("vidx").distinct()
     seen = voxel.summary(_counts(s, d))
     # Columns with ground alone aren't in the comparison.
-    solid = solid.withColumn("c", F.col("vidx") % 60).join(seen.select((F.col("vidx") % 60).alias("c")).distinct(), "c", "left_semi")
-    return voxel.cover_from_above(seen, V, solid).select("vidx", F.round("cover", 6).alias("cover"))
+    solid = solid.withColumn("c", F.col("vidx") % 77).join(seen.select((F.col("vidx") % 77).alias("c")).distinct(), "c", "left_semi")
+    return voxel.cover_from_above(seen, T, solid).select("vidx", F.round("cover", 6).alias("cover"))
 
 
-@query()
+@query(_VOX + f", every AS (SELECT vidx, sum(hits) AS hits, sum(miss) AS miss, sum(occl) AS occl FROM cnt GROUP BY vidx) SELECT vidx, {_SIX} FROM every")
 def voxel_traverse(s, d):
-    return voxel.traverse(U(s, d), P(s, d), V)
+    return _rounded(voxel.traverse(U(s, d), P(s, d), T), "hits", "miss", "occl")
 
 
 # Polygons, waveforms, colours --------------------------------------------------------
@@ -547,7 +590,7 @@ POLYGONS = [[(10.0, 5.0), (60.0, 12.0), (40.0, 45.0)], [(70.0, 10.0), (95.0, 10.
 hit AS (SELECT pulse_id, return_number, poly, count(*) AS k FROM p JOIN e ON ((y1 > y) <> (y2 > y)) AND x < x1 + (y - y1) * ((x2 - x1) / nullif(y2 - y1, 0)) GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT count(DISTINCT (pulse_id, return_number)) AS n FROM hit""")
 def point_in_polygon(s, d):
-    return P(s, d).where(vector.inside(F.col("x"), F.col("y"), POLYGONS)).agg(F.count("*").alias("n"))
+    return vector.inside_rings(P(s, d), POLYGONS).where("inside").agg(F.count("*").alias("n"))
 
 
 @query(" SELECT vec_id AS pulse_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda e: CAST(e AS DOUBLE) / 4 - 1)), 6) AS total FROM embeddings")
@@ -603,7 +646,7 @@ def view_normalise(s, d):
     return out.select("pulse_id", F.col("return_number").cast("long").alias("return_number"), *[F.round(a, 9).alias(a) for a in "xyz"])
 
 
-@query()
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", CAST(sum(CAST('0x' || substr(md5({w}), 1, 8) AS BIGINT)) AS BIGINT) AS digest, count(*) AS n FROM p""" for c, w in [*((c, f"format('{{:.16e}}', {c})") for c in "xyz"), *((c, f"CAST({c} AS VARCHAR)") for c in ("classification", "return_number"))]))
 def column_checksum(s, d):
     return grid.checksum(P(s, d), ["x", "y", "z", "classification", "return_number"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import recoded
-from ..model import SCALINGS, ColumnError, Grid, InvalidData
+from ..model import SCALINGS, ColumnError, DriverNotFound, Grid, InvalidData
 from ..operators.grid import outside
 from ..operators.pulses import pulse_index
 from ..sources import store
@@ -29,6 +29,27 @@ class Options:
     block: int = 64
 
 
+#: What the model's columns are called elsewhere; what isn't listed keeps its name.
+NAMES = {
+    "store": {"x": "X", "y": "Y", "z": "Z", "classification": "CLASSIFICATION", "intensity": "INTENSITY", "return_number": "RETURN_NUMBER", "pulse_id": "PULSE_ID", "gps_time": "GPS_TIME", "azimuth": "AZIMUTH", "zenith": "ZENITH", "scanline": "SCANLINE", "scanline_idx": "SCANLINE_IDX", "number_of_returns": "NUMBER_OF_RETURNS"},
+    "third": {"x": "X", "y": "Y", "z": "Z", "classification": "CLASSIFICATION", "intensity": "AMPLITUDE_RETURN", "return_number": "RETURN_ID", "pulse_id": "PULSE_ID", "gps_time": "GPS_TIME", "azimuth": "AZIMUTH", "zenith": "ZENITH", "scanline": "SCANLINE", "scanline_idx": "SCANLINE_IDX", "number_of_returns": "NUMBER_OF_RETURNS"},
+    "scan": {"intensity": "RHO_APP", "gps_time": "TIMESTAMP", "amplitude": "AMPLITUDE_RETURN"},
+    "footprint": {"x": "LON0", "y": "LAT0", "z": "Z0", "gps_time": "LVISTIME", "pulse_id": "SHOTNUMBER", "zenith": "INCIDENTANGLE", "azimuth": "AZIMUTH"},
+}
+
+
+def renamed(df: DataFrame, source: str, target: str) -> DataFrame:
+    """df with columns called as in another format; "model" is what this package calls them. No name may come twice."""
+    for f in (source, target):
+        if f != "model" and f not in NAMES:
+            raise DriverNotFound(f"no names for format {f}")
+    back = {v: k for k, v in NAMES.get(source, {}).items()}
+    names = [NAMES.get(target, {}).get(own := back.get(c, c), own) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ColumnError(f"two columns would be called {next(n for n in names if names.count(n) > 1)}")
+    return df.toDF(*names)
+
+
 def check_ranges(df: DataFrame, limits: dict[str, tuple[float, float]]) -> None:
     """Raises if a column is missing or a value lies outside; one pass over the data."""
     missing = set(limits) - set(df.columns)

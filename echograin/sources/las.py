@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..model import FormatNotUnderstood
+from ..session import file_system
 
 #: Records that one task reads.
 RECORDS = 1_000_000
@@ -87,7 +89,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Part]:
         from pyarrow import fs
 
-        files, name = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        files, name = file_system(self.path)
         info = files.get_file_info(name)
         names = [name] if info.is_file else sorted(f.path for f in files.get_file_info(fs.FileSelector(name)) if f.path.lower().endswith(".las"))
         parts = []
@@ -98,9 +100,7 @@ class _Reader(DataSourceReader):
         return parts
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        files = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path else fs.LocalFileSystem()
+        files, _ = file_system(self.path)
         with files.open_input_file(part.path) as f:
             h = header(f.read(375))
             kind = _record(h["format"], h["length"])
@@ -147,21 +147,29 @@ def las_bytes(points: dict[str, np.ndarray], gain: tuple[float, float, float] =
 
 
 def write_las(points: DataFrame, folder: str, **scaling) -> DataFrame:
-    """Each partition of points as a file; returns (path, n). Files are written under names of their own, so a retried task does no harm."""
-    import uuid
+    """points as files of RECORDS records at most; returns (path, n).
 
-    def kernel(batches):
-        from pyarrow import fs
+    Files are written under names of their own, so that a retried task does no harm: those that the result names count.
+    """
 
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
+    def write(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(tables)
-        files, name = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        files, name = file_system(folder)
         files.create_dir(name, recursive=True)
         path = f"{name}/{uuid.uuid4().hex}.las"
         with files.open_output_stream(path) as out:
             out.write(las_bytes({c: t[c].to_numpy() for c in t.column_names}, **scaling))
-        yield pa.RecordBatch.from_pydict({"path": [path], "n": [t.num_rows]})
+        return pa.RecordBatch.from_pydict({"path": [path], "n": [t.num_rows]})
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n and n + batch.num_rows > RECORDS:
+                yield write(held)
+                held, n = [], 0
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield write(held)
 
     return points.mapInArrow(kernel, "path string, n long")

@@ -114,11 +114,17 @@ def read(spark: SparkSession, path: str, tables: tuple[str, ...] = ("pulses", "p
     return {t: read_table(spark, f"{path}/{t}") for t in tables}
 
 
+def _attribute(df: DataFrame, name: str) -> str | None:
+    """What tells a column that was passed on from one that was computed."""
+    output = df._jdf.queryExecution().analyzed().output()
+    return next((output.apply(i).exprId().toString() for i in range(output.size()) if output.apply(i).name() == name), None)
+
+
 def update(spark: SparkSession, path: str, new_path: str, change) -> None:
     """A new version of a table: change(df) written beside the old one, the cell columns x_idx and y_idx kept as they were."""
     old = spark.read.parquet(path)
     new = change(old)
     kept = [c for c in ("x_idx", "y_idx") if c in old.columns]
-    if kept and any(new[c]._jc.toString() != old[c]._jc.toString() for c in kept):
+    if kept and any(_attribute(new, c) != _attribute(old, c) for c in kept):
         new = new.drop(*kept).join(old.select("pulse_id", *kept), "pulse_id")
     new.write.parquet(new_path)

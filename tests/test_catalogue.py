@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__
-from echograin.plans import catalogue
+from echograin.plans import catalogue, catalogue_files  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
