@@ -436,7 +436,7 @@ def interp_idw(s, d):
 
 @query()
 def interp_linear(s, d):
-    return interpolate.interpolate(P(s, d).select("x", "y", "z"), G5, "linear", tile=4)
+    return interpolate.interpolate(P(s, d).select("x", "y", "z"), G5, "linear", tile=1, margin=1)
 
 
 # Profiles -----------------------------------------------------------------------

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from echograin.model import Grid, InvalidSetting
-from echograin.operators import grid, pulses, raster, vector
+from echograin.operators import grid, interpolate, pulses, raster, vector
 from echograin.plans import blocks
 
 
@@ -174,3 +174,41 @@ def test_settings_of_the_session(spark):
             blocks.Controls.of(spark)
     finally:
         spark.conf.unset("spark.echograin.window")
+
+
+@pytest.mark.parametrize("lattice", [False, True])
+def test_linear_over_tiles(spark, lattice):
+    """Over tiles of any size as over one whole triangulation, on scattered points with a gap and on squares of points."""
+    rng = np.random.default_rng(8)
+    x, y = (rng.integers(0, 40, (2, 900)) / 2.0) if lattice else rng.uniform(-2, 22, (2, 300))
+    gap = (np.abs(x - 10) < 4) & (np.abs(y - 9) < 3)
+    x, y = x[~gap], y[~gap]
+    z = rng.normal(size=len(x))
+    order = np.lexsort((z, y, x))
+    x, y, z = x[order], y[order], z[order]
+    first = np.append(True, (np.diff(x) != 0) | (np.diff(y) != 0))
+    g = Grid(-1.0, 21.0, 1.0, 22, 22)
+    c, r = np.meshgrid(np.arange(22), np.arange(22))
+    want = interpolate._linear(x[first], y[first], z[first], -1 + c.ravel() + 0.5, 21 - r.ravel() - 0.5)[0].reshape(22, 22)
+    df = spark.createDataFrame(pa.table({"x": x, "y": y, "z": z}))
+    for tile, margin in ((5, 1), (11, 2), (64, 64)):
+        got = array(interpolate.linear(df, g, tile, margin), (22, 22), "z")
+        # A cell that the hull's own edge passes may count to it or not.
+        both = ~np.isnan(got) & ~np.isnan(want)
+        assert both.sum() >= 0.98 * max((~np.isnan(got)).sum(), (~np.isnan(want)).sum()) and np.allclose(got[both], want[both], atol=1e-6)
+
+
+def test_triangles_are_delaunay():
+    rng = np.random.default_rng(11)
+    x, y = rng.uniform(0, 10, (2, 120))
+    tri, circle = interpolate.triangles(x, y)
+    far = np.hypot(x[None, :] - circle[:, :1], y[None, :] - circle[:, 1:2])
+    assert (far >= circle[:, 2:] - 1e-6).all() and len(tri) >= 2 * len(x) - 2 - len(interpolate.hull(x, y)) - 4
+
+
+def test_linear_of_few_points(spark):
+    g = Grid(0.0, 4.0, 1.0, 4, 4)
+    for points in ([], [(1.0, 1.0, 2.0)], [(0.0, 0.0, 1.0), (4.0, 4.0, 2.0)], [(None, 1.0, 1.0), (1.0, float("nan"), 1.0)]):
+        assert interpolate.linear(spark.createDataFrame(points, "x double, y double, z double"), g).count() == 0
+    flat = spark.createDataFrame([(0.0, 0.0, 3.0), (4.0, 0.0, 3.0), (0.0, 4.0, 3.0), (4.0, 4.0, 3.0)], "x double, y double, z double")
+    assert sorted({round(r["z"], 9) for r in interpolate.linear(flat, g, tile=2, margin=1).collect()}) == [3.0]
