@@ -41,6 +41,28 @@ def pulse_index(points: DataFrame, method: str = "first") -> DataFrame:
     return points.groupBy("pulse_id").agg(pick(F.struct("x", "y"), "return_number").alias("p")).select("pulse_id", F.col("p.x").alias("x_idx"), F.col("p.y").alias("y_idx"))
 
 
+#: Kinds of spatial index, and the columns that a pulse's place in them is made of.
+INDEXES = {"cartesian": ("x_idx", "y_idx"), "spherical": ("azimuth", "zenith"), "cylindrical": ("azimuth", "z"), "scan": ("scanline_idx", "scanline")}
+
+
+def index_place(pulses: DataFrame, points: DataFrame, kind: str = "cartesian", method: str = "first") -> DataFrame:
+    """pulses with x_idx and y_idx, their place in a spatial index: the first or last return, the angles, the azimuth and the height of that return, or
+    the place in the scan. A pulse without return has no place in the two kinds that ask for one."""
+    if kind not in INDEXES:
+        raise PulseIndexUnsupported(f"no spatial index {kind}; there are {', '.join(INDEXES)}")
+    out = pulses.drop("x_idx", "y_idx")
+    if kind == "cartesian":
+        return out.join(pulse_index(points, method), "pulse_id", "left")
+    if kind == "cylindrical":
+        if method not in ("first", "last"):
+            raise PulseIndexUnsupported(f"no pulse index by {method} return")
+        pick = F.min_by if method == "first" else F.max_by
+        out = out.join(points.groupBy("pulse_id").agg(pick("z", "return_number").alias("__z")), "pulse_id", "left")
+        return out.withColumns({"x_idx": F.col("azimuth").cast("double"), "y_idx": F.col("__z").cast("double")}).drop("__z")
+    x, y = INDEXES[kind]
+    return out.withColumns({"x_idx": F.col(x).cast("double"), "y_idx": F.col(y).cast("double")})
+
+
 def start_index(counts: DataFrame, key: str = "pulse_id", n: str = "n", block: int = BLOCK) -> DataFrame:
     """counts with start: the sum of n over all smaller keys.
 

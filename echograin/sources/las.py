@@ -19,7 +19,7 @@ from ..session import file_system
 RECORDS = 1_000_000
 SCHEMA = (
     "record_number long, x double, y double, z double, intensity int, return_number int, number_of_returns int, classification int, "
-    "synthetic int, keypoint int, withheld int, scan_angle double, user_data int, point_source_id int, gps_time double, red int, green int, blue int"
+    "synthetic int, keypoint int, withheld int, scan_angle double, user_data int, point_source_id int, gps_time double, red int, green int, blue int, file string"
 )
 _HEAD = struct.Struct("<4sHHIHH8sBB32s32sHHHIIBHI5I12d")
 
@@ -53,7 +53,7 @@ def _record(kind: int, length: int) -> np.dtype:
     return np.dtype(base + [("extra", f"V{length - size}")] * (length > size))
 
 
-def decode(raw: np.ndarray, h: dict, first: int) -> pa.RecordBatch:
+def decode(raw: np.ndarray, h: dict, first: int, file: str = "") -> pa.RecordBatch:
     new = h["format"] >= 6
     n = len(raw)
     bits, cls = raw["bits"].astype(np.int32), raw["cls"].astype(np.int32)
@@ -73,6 +73,7 @@ def decode(raw: np.ndarray, h: dict, first: int) -> pa.RecordBatch:
         pa.array(raw["source"].astype(np.int32)),
         pa.array(raw["time"]) if "time" in raw.dtype.names else pa.nulls(n, pa.float64()),
         *rgb,
+        pa.array([file] * n, pa.string()),
     ]
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -108,7 +109,7 @@ class _Reader(DataSourceReader):
             for k in range(part.first, part.first + part.count, step):
                 n = min(step, part.first + part.count - k)
                 f.seek(h["offset"] + k * h["length"])
-                yield decode(np.frombuffer(f.read(n * h["length"]), kind), h, k)
+                yield decode(np.frombuffer(f.read(n * h["length"]), kind), h, k, part.path)
 
 
 class LasSource(DataSource):

@@ -87,10 +87,11 @@ def columns_of(record: list[tuple]) -> str:
     return ", ".join(f"`{n}` array<{k}>" if many else f"`{n}` {k}" for n, k, many in kinds)
 
 
-def read_structs(spark: SparkSession, path: str, record: list[tuple], columns: str | None = None, header: int = 0) -> DataFrame:
+def read_structs(spark: SparkSession, path: str, record: list[tuple], columns: str | None = None, header: int = 0, file: str | None = None) -> DataFrame:
     """Files of fixed records: (name, numpy type, and how often, if not once) in order, after a header of so many bytes.
 
-    A task reads RECORDS records of a file at most; an incomplete last record is passed over. Adds file and record_number.
+    A task reads RECORDS records of a file at most; an incomplete last record is passed over. Adds record_number, the
+    place in its file, and, under the name `file` if that is given, the file.
     """
     kind = np.dtype(record)
     files, name = file_system(path)
@@ -98,7 +99,7 @@ def read_structs(spark: SparkSession, path: str, record: list[tuple], columns: s
     found = [info] if info.is_file else sorted((f for f in files.get_file_info(fs.FileSelector(name)) if f.is_file), key=lambda f: f.path)
     parts = [(f.path, k, min(RECORDS, (f.size - header) // kind.itemsize - k)) for f in found for k in range(0, max(0, (f.size - header) // kind.itemsize), RECORDS)]
     columns = columns or columns_of(record)
-    shape = "file string, record_number long, " + columns
+    shape = "record_number long, " + columns + (f", `{file}` string" if file else "")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = file_system(path)
@@ -109,8 +110,9 @@ def read_structs(spark: SparkSession, path: str, record: list[tuple], columns: s
                     for at in range(0, part["n"], 1 << 14):
                         n = min(1 << 14, part["n"] - at)
                         raw = np.frombuffer(f.read(n * kind.itemsize), kind)
-                        own = [np.full(n, part["name"]), part["first"] + at + np.arange(n)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, own), *(_arrow(raw[c]) for c in kind.names)], ["file", "record_number", *kind.names])
+                        own = [pa.array(part["first"] + at + np.arange(n)), *(_arrow(raw[c]) for c in kind.names)]
+                        where = [pa.array([part["name"]] * n, pa.string())] if file else []
+                        yield pa.RecordBatch.from_arrays(own + where, ["record_number", *kind.names, *([file] if file else [])])
 
     table = pa.table({"name": pa.array([p[0] for p in parts], pa.string()), "first": pa.array([p[1] for p in parts], pa.int64()), "n": pa.array([p[2] for p in parts], pa.int64())})
     typed = spark.createDataFrame(table).repartition(max(1, len(parts)), "name", "first")

@@ -136,3 +136,61 @@ def test_command_line(spark, sf, tmp_path, capsys):
     cli.main(["canopy", str(tmp_path / "s"), str(tmp_path / "c"), "--weighted"])
     cli.main(["tile", str(tmp_path / "s"), str(tmp_path / "t"), "--binsize", "5"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == p.count()
+
+    s = str(tmp_path / "s")
+    for kind in ("cartesian", "spherical", "cylindrical", "scan"):
+        out = str(tmp_path / kind)
+        cli.main(["index", s, out, "--type", kind, "--binsize", "20", "--method", "last"])
+        beams, points = (spark.read.parquet(f"{out}/{t}") for t in ("pulses", "points"))
+        assert points.count() == p.count() and beams.select("tile_row", "tile_col").distinct().count() >= 1
+        assert beams.count() == (p.select("pulse_id").distinct().count() if kind in ("cartesian", "cylindrical") else catalogue.U(spark, sf).count())
+    for model_ in ("hinge", "linear", "solid_angle"):
+        cli.main(["canopy", s, str(tmp_path / model_), "--model", model_, "--weighted", "--exclude", "7", "--zenith", "35", "70", "5"])
+        assert spark.read.option("header", True).csv(str(tmp_path / model_)).count() == 100
+    cli.main(["rasterize", s, str(tmp_path / "dem"), "--binsize", "10"])
+    dem, g = raster_files.read_raster(spark, str(tmp_path / "dem"))
+    raster_files.write_raster(dem.withColumnRenamed("min_z", "ground"), g, str(tmp_path / "ground"))
+    cli.main(["canopy", s, str(tmp_path / "above"), "--dem", str(tmp_path / "ground")])
+    cli.main(["canopy", s, str(tmp_path / "plane"), "--plane"])
+    cli.main(["canopy", s, str(tmp_path / "voxels"), "--metric", "voxel", "--voxelsize", "10", "--bounds", "-3.37", "-2.61", "-0.23", "106.63", "67.39", "59.77"])
+    layers = spark.read.parquet(str(tmp_path / "voxels"))
+    assert layers.count() == layers.select("row", "col", "layer").distinct().count() > 0
+    with pytest.raises(model.InvalidSetting):
+        cli.main(["canopy", s, str(tmp_path / "x"), "--plane", "--dem", "y"])
+
+
+def test_translating_las_files(spark, tmp_path):
+    """Two files, of which one is cut off within a pulse, by the count of returns."""
+    (tmp_path / "in").mkdir()
+    for name, returns in (("a", [2, 2, 3, 3]), ("b", [1, 2, 2, 1])):
+        n = len(returns)
+        points = {"x": np.arange(n) + 0.5, "y": np.arange(n) * 1.0, "z": np.ones(n), "return_number": np.ones(n, int), "number_of_returns": np.array(returns), "classification": np.full(n, 2)}
+        (tmp_path / "in" / f"{name}.las").write_bytes(las.las_bytes(points))
+    cli.main(["translate", str(tmp_path / "in"), str(tmp_path / "out"), "--format", "las"])
+    tables = store.read(spark, str(tmp_path / "out"))
+    assert sorted((r["pulse_id"], r["number_of_returns"]) for r in tables["pulses"].collect()) == [(0, 2), (1, 2), (2, 1), (3, 2), (4, 1)]
+    assert sorted((r["pulse_id"], r["return_number"]) for r in tables["points"].collect()) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 1)]
+
+
+def test_records_of_large_footprints(spark, tmp_path):
+    for version, n in (("1.00", 468), ("1.01", 476), ("1.02", 484), ("1.03", 576), ("1.04", 1368)):
+        record = lidar_formats.lvis_record("lgw", version)
+        kind = np.dtype(record)
+        assert kind.itemsize > 432 and all(np.dtype(k).str[0] in ">|" for _, k, *_ in record)
+        data = np.zeros(5, kind)
+        data["rxwave"] = np.arange(5)[:, None]
+        (tmp_path / f"w{version}.bin").write_bytes(b"head" + data.tobytes() + b"rest")
+        got = lidar_formats.read_structs(spark, str(tmp_path / f"w{version}.bin"), record, header=4).orderBy("record_number").collect()
+        assert [r["rxwave"][7] for r in got] == [0, 1, 2, 3, 4] and len(got[0]["rxwave"]) == data["rxwave"].shape[1]
+    with pytest.raises(model.DriverNotFound):
+        lidar_formats.lvis_record("lgx", "1.03")
+
+
+def test_names_of_other_formats(spark):
+    df = spark.createDataFrame([(1.0, 2)], "x double, other int")
+    assert translate.renamed(df, "model", "footprint").columns == ["LON0", "other"]
+    assert translate.renamed(translate.renamed(df, "model", "store"), "store", "model").columns == ["x", "other"]
+    with pytest.raises(model.DriverNotFound):
+        translate.renamed(df, "model", "none")
+    with pytest.raises(model.ColumnError):
+        translate.renamed(spark.createDataFrame([(1, 2)], "x int, X int").toDF("x", "LON0"), "model", "footprint")
