@@ -476,6 +476,13 @@ def _remove_task(length: int, buckets: int, with_text: bool) -> Callable[[pa.Tab
     return task
 
 
+def _stored_bytes(df: DataFrame) -> int:
+    """The size of the tables that df reads, as far as it is known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 62)
+
+
 def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left).
 
@@ -484,8 +491,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -
     if not 8 <= length <= 64:
         raise ValueError("length is 8 to 64")
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-_stored_bytes(docs) // BUCKET_BYTES), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
     buckets = 1 << max(0, (parts - 1).bit_length())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     numbered = rows.mapInArrow(_number, "doc_id long, text string, chunk long, row int")
