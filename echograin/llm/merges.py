@@ -6,7 +6,7 @@ by agenda: the best-scored pair of neighbours first, the leftmost of equals. A c
 enters the agenda is skipped for good if a hash of (seed, document, which word of it, left piece, right piece, place) falls below the
 rate. So every occurrence of a word is segmented on its own, and always alike for the same seed, document and place.
 
-Short words go through the agenda together, one merge each a round, in numpy; long ones
+Short words of about one size go through the agenda together, one merge each a round, in numpy; long ones
 by a heap. What a word gives without skips and the candidates it meets are kept, up to a bound, for the worker's life: an
 occurrence that skips none of them has that result, any other goes through the agenda on its own.
 
@@ -37,7 +37,12 @@ _ROUND = 8192
 KEPT_WORDS, _LOOK = 1_000_000, 1 << 16
 SPACE = "▁"
 _NONE = np.int64(1) << 62
-_PLACES = 1 << 20
+_SHIFT = 20
+_PLACES = 1 << _SHIFT
+#: In a table of symbols, what stands where there is none.
+_GONE = np.int64(-1) << 32
+#: Slots among which pairs are spread by a hash, as a power of two.
+_SLOT_BITS = 19
 
 _models: dict[tuple[str, float, int], Merger] = {}
 kept.append(_models)
@@ -49,6 +54,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _slots(key: np.ndarray) -> np.ndarray:
+    return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Merger:
     def __init__(self, path: str, rate: float = RATE, seed: int = 0) -> None:
         import sentencepiece
@@ -81,10 +96,14 @@ class Merger:
             for cut in range(1, len(name)):
                 left, right = self.symbols.get(name[:cut]), self.symbols.get(name[cut:])
                 if left is not None and right is not None:
-                    pairs[left * self.wide + right] = (rank[name], known[name])
+                    pairs[left * self.wide + right] = rank[name]
         self.pairs = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[p][0] for p in self.pairs.tolist()], np.int64)
-        self.merged = np.array([pairs[p][1] for p in self.pairs.tolist()], np.int64)
+        self.ranks = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
+        self.of_rank = np.array([known[name] for name in rank], np.int64)
+        #: Of each slot: where its pair stands (none: anywhere), or -1 if it has several.
+        self.slots = np.zeros(1 << _SLOT_BITS, np.int32)
+        slot, first, count = np.unique(_slots(self.pairs), return_index=True, return_counts=True)
+        self.slots[slot] = np.where(count == 1, first, -1)
         self.of_char = np.full(0x110000, -1, np.int64)
         for name, i in self.symbols.items():
             if len(name) == 1:
@@ -106,67 +125,82 @@ class Merger:
 
     # Agenda ----------------------------------------------------------------------
 
-    def _value(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, mark: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Of candidate merges: rank and place in one number (none: very large), and the piece. mark: of the occurrence; without, none is skipped."""
+    def _value(self, left: np.ndarray, right: np.ndarray, place: np.ndarray, mark: np.ndarray | None) -> np.ndarray:
+        """Of candidate merges: rank and place in one number (none: very large). mark: of the occurrence; without, none is skipped."""
         key = np.where((left >= 0) & (right >= 0), left * self.wide + right, -1)
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        at = self._find(key)
         value = np.where(self.pairs[at] == key, self.ranks[at] * _PLACES + np.minimum(place, _PLACES - 1), _NONE)
         if self.bar and mark is not None:
-            value[self._skipped(key, place, mark)] = _NONE
-        return value, self.merged[at]
+            some = np.flatnonzero(value < _NONE)
+            value[some[self._skipped(key[some], place[some], mark[some])]] = _NONE
+        return value
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Where in `pairs` each key stands, if it does."""
+        slot = _slots(key)
+        at = self.slots[slot]
+        more = np.flatnonzero(at < 0)  # several pairs have this slot
+        if len(more):
+            at[more] = np.minimum(np.searchsorted(self.pairs, key[more]), len(self.pairs) - 1)
+        return at
 
     def _skipped(self, key: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
         drawn = _mix(key.astype(np.uint64) ^ _mix(mark.astype(np.uint64) + place.astype(np.uint64)))
         return (drawn >> np.uint64(11)).astype(np.int64) < self.bar
 
     def _together(self, symbols: np.ndarray, sizes: np.ndarray, marks: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The pieces of words that lie end to end, and how many each has. met gets the candidates: word, pair and place."""
-        n = len(sizes)
-        word = np.repeat(np.arange(n), sizes)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(symbols)) - starts[word]
-        out_word, out_place, out_symbol = [], [], []
-        value = np.full(len(symbols), _NONE)
-        into = np.zeros(len(symbols), np.int64)
-        pair = np.flatnonzero(word[:-1] == word[1:])
+        """The pieces of words that lie end to end, and how many each has. met gets the candidates: word, pair and place.
 
-        def enter(left: np.ndarray) -> None:
-            value[left], into[left] = self._value(symbols[left], symbols[left + 1], place[left], None if marks is None else marks[word[left]])
+        In the tables, a row is a place and a column a word: a piece stands where its first character does. Only what a merge
+        touches is written; the best candidates of all words are one pass over `value`.
+        """
+        n, high = len(sizes), max(1, int(sizes.max()))
+        word = np.repeat(np.arange(n), sizes)
+        place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        table = np.full(high * n, _GONE)
+        table[place * n + word] = symbols
+        after = np.repeat(np.arange(1, high + 1), n)
+        after[np.maximum(sizes - 1, 0) * n + np.arange(n)] = high
+        before = np.repeat(np.arange(-1, high - 1), n)
+        value = np.full((high, n), _NONE)
+
+        def enter(left: np.ndarray, right: np.ndarray, word: np.ndarray, column: np.ndarray) -> None:
+            """Candidates of the pieces at two places of each word."""
+            a, b = table[left * n + word], table[right * n + word]
+            found = self._value(a, b, left, None if marks is None else marks[word])
+            value.reshape(-1)[left * value.shape[1] + column] = found
             if met is not None:
-                left = left[value[left] < _NONE]
-                met.append((word[left], (symbols[left] * self.wide + symbols[left + 1]) * (LONG + 1) + place[left]))
-
-        enter(pair)
-        symbols = symbols.copy()
-        while len(symbols):
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            count = np.diff(np.append(first, len(word)))
-            least = np.minimum.reduceat(value, first)
-            live = np.repeat(least < _NONE, count)
-            if not live.all():
-                done = ~live
-                out_word.append(word[done])
-                out_place.append(place[done])
-                out_symbol.append(symbols[done])
-                symbols, word, place, value, into = symbols[live], word[live], place[live], value[live], into[live]
-                least, count = least[least < _NONE], count[least < _NONE]
-                if len(symbols) == 0:
-                    break
-            at = np.flatnonzero(value == np.repeat(least, count))  # one a word: places differ
-            symbols[at] = into[at]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            value[at] = _NONE
-            shift = np.arange(len(at))
-            symbols, word, place, value, into = symbols[keep], word[keep], place[keep], value[keep], into[keep]
-            at = at - shift
-            for left in (at - 1, at):
-                left = left[(left >= 0) & (left + 1 < len(word))]
-                left = left[word[left] == word[left + 1]]
-                enter(left)
-        word, place, symbol = np.concatenate(out_word), np.concatenate(out_place), np.concatenate(out_symbol)
-        order = np.lexsort((place, word))
-        return symbol[order], np.bincount(word, minlength=n)
+                some = found < _NONE
+                met.append((word[some], (a[some] * self.wide + b[some]) * (LONG + 1) + left[some]))
+
+        pair = np.flatnonzero(word[:-1] == word[1:])
+        enter(place[pair], place[pair] + 1, word[pair], word[pair])
+        words = np.arange(n)  # of the columns of value
+        while True:
+            least = value.min(0)
+            live = np.flatnonzero(least < _NONE)
+            if len(live) == 0:
+                break
+            least = least[live]
+            if 4 * len(live) < 3 * len(words):
+                value, words, live = value.take(live, 1), words[live], np.arange(len(live))
+            here, own = least & (_PLACES - 1), words[live]
+            cell = here * n + own
+            gone = after[cell]
+            cut = gone * n + own
+            then = after[cut]
+            table[cell], table[cut], after[cell] = self.of_rank[least >> _SHIFT], _GONE, then
+            flat = value.reshape(-1)
+            flat[here * len(words) + live] = flat[gone * len(words) + live] = _NONE
+            has = np.flatnonzero(then < high)
+            before[then[has] * n + own[has]] = here[has]
+            ahead = before[cell]
+            led = np.flatnonzero(ahead >= 0)
+            both = np.concatenate([led, has])
+            enter(np.concatenate([ahead[led], here[has]]), np.concatenate([here[led], then[has]]), own[both], live[both])
+        left = table.reshape(high, n).T
+        stays = left != _GONE
+        return left[stays], stays.sum(1)
 
     def _by_heap(self, symbols: np.ndarray, mark: np.ndarray | None) -> np.ndarray:
         """The pieces of one word, by a heap of candidates."""
@@ -178,10 +212,10 @@ class Merger:
             if places:
                 p = np.array(places)
                 right = np.array([after[i] for i in places])
-                value, into = self._value(np.array([sym[i] for i in places]), np.array([sym[i] for i in right]), p, None if mark is None else np.broadcast_to(mark, p.shape))
-                for v, i, j, m in zip(value.tolist(), places, right.tolist(), into.tolist()):
+                value = self._value(np.array([sym[i] for i in places]), np.array([sym[i] for i in right]), p, None if mark is None else np.broadcast_to(mark, p.shape))
+                for v, i, j in zip(value.tolist(), places, right.tolist()):
                     if v < _NONE:
-                        yield v // _PLACES, i, j, m, age[i] + age[j]
+                        yield v >> _SHIFT, i, j, int(self.of_rank[v >> _SHIFT]), age[i] + age[j]
 
         heap = list(candidates(list(range(n - 1))))
         heapq.heapify(heap)
@@ -203,23 +237,31 @@ class Merger:
 
         met gets the candidates of short words: the word, and pair and place in one number.
         """
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        return self._segment(points, np.fromiter(map(len, words), np.int64, len(words)), marks, met)
+
+    def _segment(self, points: np.ndarray, sizes: np.ndarray, marks: np.ndarray | None, met: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """As segment(), of the characters of words, end to end, and how many each has."""
+        points = points.astype(np.int64)
         symbols = self.of_char[points]
         symbols = np.where(symbols < 0, -1 - points, symbols)
         long = sizes > LONG
-        inside = np.repeat(~long, sizes)
-        flat, counts = np.zeros(0, np.int64), np.zeros(len(words), np.int64)
-        if inside.any():
-            own, kinds, short, which = symbols[inside], None if marks is None else marks[~long], sizes[~long], np.flatnonzero(~long)
-            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(short)])
-            parts = []
-            for w in range(0, len(short), _ROUND):
+        flat, counts = np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
+        which = np.flatnonzero(~long)
+        if len(which):
+            # Words of about one size go together.
+            which = which[np.argsort(sizes[which], kind="stable")]
+            starts, parts = np.cumsum(sizes) - sizes, []
+            for w in range(0, len(which), _ROUND):
+                some = which[w : w + _ROUND]
                 here: list | None = None if met is None else []
-                parts.append(self._together(own[ends[w] : ends[min(w + _ROUND, len(short))]], short[w : w + _ROUND], None if kinds is None else kinds[w : w + _ROUND], here))
-                if met is not None:
-                    met += [(which[w + k], c) for k, c in here]
-            flat, counts[~long] = np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+                part, counts[some] = self._together(symbols[_ranges(starts[some], sizes[some])], sizes[some], None if marks is None else marks[some], here)
+                parts.append(part)
+                if here:
+                    met += [(some[k], c) for k, c in here]
+            begins = np.zeros(len(sizes), np.int64)
+            begins[which] = np.cumsum(counts[which]) - counts[which]
+            flat = np.concatenate(parts)[_ranges(begins, counts)]
         if long.any():
             parts = np.split(flat, np.cumsum(counts)[:-1])
             ends = np.cumsum(sizes)
@@ -233,8 +275,8 @@ class Merger:
             spelt = [self.bytes[list(chr(inner.get(s, -1 - s)).encode("utf-8", "surrogatepass"))] for s in flat[odd].tolist()]
             wide = np.ones(len(flat), np.int64)
             wide[odd] = [len(s) for s in spelt]
-            of_word = np.repeat(np.arange(len(words)), counts)
-            counts = np.bincount(of_word, weights=wide, minlength=len(words)).astype(np.int64)
+            of_word = np.repeat(np.arange(len(sizes)), counts)
+            counts = np.bincount(of_word, weights=wide, minlength=len(sizes)).astype(np.int64)
             full = np.repeat(flat, wide)
             full[np.repeat(np.isin(np.arange(len(flat)), odd), wide)] = np.concatenate(spelt)
             flat = full
@@ -274,21 +316,26 @@ class Merger:
         lengths = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
         return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[first]
 
-    def _spelled(self, codes: np.ndarray) -> list[str]:
+    def _spelled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of words, end to end, and how many each has."""
         raw, sizes = self.words.rows.take(codes)
-        return pa.LargeStringArray.from_buffers(len(codes), pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64)), pa.py_buffer(raw)).to_pylist()
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        if len(points) < len(raw):  # a character begins at each byte that continues none
+            begun = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+            sizes = np.diff(begun[np.append(0, np.cumsum(sizes))])
+        return points, sizes
 
     def _learn(self) -> None:
         """What words that came new give without skips."""
         new = np.arange(self.rows.rows, len(self.words))
         if len(new) == 0:
             return
-        spelled = self._spelled(new)
+        points, sizes = self._spelled(new)
         met: list = []
-        self.rows.add(*self.segment(spelled, None, met))
+        self.rows.add(*self._segment(points, sizes, None, met))
         word = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in met)])
         self.met.add(np.concatenate([np.zeros(0, np.int64), *(c for _, c in met)])[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(new)))
-        self.long = np.append(self.long, [len(w) > LONG for w in spelled])
+        self.long = np.append(self.long, sizes > LONG)
 
     def _occurrences(self, codes: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of occurrences of words, end to end, and their lengths."""
@@ -301,7 +348,7 @@ class Merger:
         plain, plain_lengths = self.rows.take(codes[~own])
         if not own.any():
             return plain, plain_lengths
-        cut, cut_lengths = self.segment(self._spelled(codes[own]), marks[own])
+        cut, cut_lengths = self._segment(*self._spelled(codes[own]), marks[own])
         lengths = np.zeros(len(codes), np.int64)
         lengths[own], lengths[~own] = cut_lengths, plain_lengths
         ids, inside = np.zeros(lengths.sum(), np.uint32), np.repeat(own, lengths)
