@@ -36,7 +36,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one document stays.
+
+    Near SimHash fingerprints are looked up by multi-index hashing; what they miss is found by the shingles.
+    """
     session.ship(spark)
     return simhash.drop_near_duplicates(docs, words=5)
 

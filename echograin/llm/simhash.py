@@ -165,9 +165,14 @@ def near_duplicate_components(docs: DataFrame, words: int = 5, radius: int = 2,
 
 # Near-duplicates by similarity ------------------------------------------------------
 #
+# Documents whose fingerprints are near, found by multi-index hashing as above, are compared first, and verified links make groups. Of
+# equal fingerprints each is compared with one, and of near ones those two, so that this never takes more comparisons than there are
+# documents and pairs of fingerprints.
+#
+# Fingerprints of similar sets may lie further apart, so all other pairs are found by the shingles themselves.
 # Two sets of shingles of Jaccard similarity s share most of their elements, so that in any one order of all shingles their beginnings
 # share some: that of a set of n is its first n - ceil(s n) + 1. Documents that share none are never compared, and none that are similar
-# enough escape. The order only decides how many are compared: shingles that a sample finds in many documents come last.
+# enough escape, unless they are in one group already. The order only decides how many are compared: shingles that a sample finds in many documents come last.
 
 #: The least Jaccard similarity, as a fraction.
 SIMILARITY = (4, 5)
@@ -175,11 +180,11 @@ SIMILARITY = (4, 5)
 SAMPLE, OFTEN, COMMON = 16, 3, 100_000
 
 
-def _sets(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
-    """The different shingle hashes of each text."""
+def _hashes(batch: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text, repeats included."""
     data, offsets = text_bytes(batch.column(1))
     raw, at = memoryview(data), offsets.tolist()
-    return (np.unique(shingle_hashes(bytes(raw[s:e]), size)) for s, e in zip(at, at[1:]))
+    return (shingle_hashes(bytes(raw[s:e]), size) for s, e in zip(at, at[1:]))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -191,7 +196,7 @@ def _set_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_bare()
         for batch in batches:
-            sets = list(_sets(batch, size))
+            sets = list(map(np.unique, _hashes(batch, size)))
             nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), _lists([s.view(np.int64) for s in sets])], ["node", "shingles"])
             give_back()
@@ -200,7 +205,7 @@ def _set_kernel(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _beginning_kernel(size: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each document's set, as its hash, its size and its beginning. common: hashes, the rarest first."""
+    """Each document's set, as its hash, its fingerprint, its size and its beginning. common: hashes, the rarest first."""
     by_hash = np.argsort(common)
     high, low = SIMILARITY[1], SIMILARITY[0]
 
@@ -215,12 +220,15 @@ def _beginning_kernel(size: int, common: np.ndarray) -> Callable[[Iterator[pa.Re
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_bare()
         for batch in batches:
-            nodes, sizes, begins = [], [], []
-            for s in _sets(batch, size):
+            nodes, marks, sizes, begins = [], [], [], []
+            for hashes in _hashes(batch, size):
+                s = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+                marks.append(majority(hashes))
                 sizes.append(len(s))
                 begins.append(key(s)[: len(s) + 1 + (-low * len(s) // high)] if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), _lists(begins)], ["doc_id", "node", "n", "begin"])
+            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), _lists(begins)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "mark", "n", "begin"])
             give_back()
 
     return kernel
@@ -240,16 +248,28 @@ def _similar(shared, n, m):
     return (low + high) * shared >= low * (n + m)
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes(node, n, begin) whose beginnings don't rule out that they are similar."""
+def _near_marks(prints: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes of prints(node, mark, n) to compare, by their fingerprints: one of each fingerprint with
+    the others of it, and with that of each fingerprint at most `radius` bits away."""
+    held = prints.where("n > 0").select("mark", "node").distinct()
+    marks = store(held.groupBy("mark").agg(F.min("node").alias("head")), "marks")
+    a, b = (marks.select(F.col("mark").alias(k), F.col("head").alias(f"head_{k}")) for k in "ab")
+    across = near_pairs(marks.select("mark"), radius).join(a, "a").join(b, "b").select("head_a", "head_b")
+    both = held.join(marks, "mark").select(F.col("head").alias("head_a"), F.col("node").alias("head_b")).unionByName(across)
+    return both.where("head_a <> head_b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).distinct()
+
+
+def _candidates(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes(node, n, begin) whose beginnings don't rule out that they are similar, but those of one group of roots(node, root)."""
     low, high = SIMILARITY
     keys = nodes.select("node", F.posexplode("begin").alias("pos", "key"))
     # Most shingles are of one document: they go before anything is joined.
     many = keys.withColumn("docs", F.count("*").over(Window.partitionBy("key"))).where("docs > 1").select("node", "pos", "key")
     sizes = nodes.select("node", "n", F.element_at("begin", -1).alias("last"), F.size("begin").alias("p")).where("n > 0")
+    sizes = sizes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keys = store(many.join(sizes, "node"), "shingles")
-    x, y = (keys.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "p", "pos", "last"))) for k in "ab")
-    met = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & (high * F.least("n_a", "n_b") >= low * F.greatest("n_a", "n_b")))
+    x, y = (keys.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "p", "pos", "last"))) for k in "ab")
+    met = x.join(y, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (high * F.least("n_a", "n_b") >= low * F.greatest("n_a", "n_b")))
     found = met.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), *(F.first(f"{c}_{k}").alias(f"{c}_{k}") for k in "ab" for c in ("n", "p", "last")), *(F.max(f"pos_{k}").alias(f"pos_{k}") for k in "ab"))
     # All that is shared up to the end of the beginning that ends first has been counted; what else is shared comes later in both.
     rest_a = F.col("n_a") - F.when(F.col("last_a") <= F.col("last_b"), F.col("p_a")).otherwise(F.col("pos_a") + 1)
@@ -257,23 +277,31 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return found.where(_similar(F.col("shared") + F.least(rest_a, rest_b), F.col("n_a"), F.col("n_b"))).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame, words: int) -> DataFrame:
+    """Those of pairs(a, b) of nodes whose sets are similar."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    owners = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    owners = store(owners.select("doc_id").distinct(), "owners")
+    texts = rows.join(owners, "doc_id", "left_semi")
+    sets = store(texts.mapInArrow(_set_kernel(words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+    return both.where(_similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 2) -> DataFrame:
     """(doc_id, component_id) of every document that isn't the smallest of its group of near-duplicates.
 
-    Two documents are linked if the Jaccard similarity of their sets of shingles is SIMILARITY at least, and links make groups. All
-    pairs are found, and each is verified by its sets. Equal sets are folded into one before anything is paired. Rows
+    Two documents are linked if the Jaccard similarity of their sets of shingles is SIMILARITY at least, and links make groups. Documents
+    whose fingerprints differ in at most `radius` bits are looked at first; all other pairs that can be similar follow, so that the
+    result doesn't depend on the radius. Each pair is verified by its sets. Equal sets are folded into one before anything is paired. Rows
     without identifier are passed over; rows that repeat an identifier share one fate.
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = store(rows.mapInArrow(_beginning_kernel(words, _common(rows, words)), "doc_id long, node long, n long, begin array<long>"), "beginnings")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("begin").alias("begin"))
-    pairs = store(_candidates(nodes), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    owners = prints.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = rows.join(owners.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = store(texts.mapInArrow(_set_kernel(words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
-    near = both.where(_similar(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
+    prints = store(rows.mapInArrow(_beginning_kernel(words, _common(rows, words)), "doc_id long, node long, mark long, n long, begin array<long>"), "beginnings")
+    roots = components(_verified(store(_near_marks(prints, radius), "near-marks"), rows, prints, words))
+    nodes = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("begin").alias("begin"))
+    rest = _verified(store(_candidates(nodes, roots), "candidates"), rows, prints, words)
+    near = rest.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # A document is linked to the smallest of its set, and those of similar sets to each other.
     least = store(prints.groupBy("node").agg(F.min("doc_id").alias("least")), "least")
     same = prints.join(least, "node").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))

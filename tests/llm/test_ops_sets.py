@@ -296,6 +296,36 @@ def test_links_of_every_document_count(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == kept_by_brute_force(rows)
 
 
+def test_pipeline_links_near_fingerprints(spark, monkeypatch):
+    """What fingerprints alone find, by brute force; with equal ones of texts that aren't similar."""
+    rng = random.Random(13)
+    texts, vocabulary = random_texts(rng, 40)
+    rows = []
+    for k, words in enumerate(texts):
+        words = (words * 20)[:3000] if k % 4 == 0 else words + texts[k - 1] + texts[k - 2]
+        other = list(words)
+        other[rng.randrange(len(words))] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    rows += [(1000 + k, " ".join(["spam"] * 60 + rng.sample(vocabulary, 12))) for k in range(4)]
+    sets, marks = shingle_sets(rows), {k: brute_mark(t, 5) for k, t in rows}
+    assert len({marks[1000 + k] for k in range(4)}) == 1
+    near = [(a, b) for a in sets for b in sets if a < b and (marks[a] ^ marks[b]).bit_count() <= 2 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert 10 < len(near) < 40 and all(a % 2 == 0 and b == a + 1 for a, b in near)
+    given, real, left = spark.createDataFrame(rows, "doc_id long, text string"), simhash._candidates, set()
+
+    def none(*args):
+        left.update((r["a"], r["b"]) for r in real(*args).collect())
+        return real(*args).limit(0)
+
+    monkeypatch.setattr(simhash, "_candidates", none)
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, given, "")
+    assert {r["doc_id"] for r in kept.collect()} == sets.keys() - {b for _, b in near}
+    monkeypatch.undo()
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, given, "").collect()} == kept_by_brute_force(rows)
+    nodes = {k: np.uint64(xxhash.xxh64_intdigest(np.unique(simhash.shingle_hashes(t.encode(), 5)).tobytes(), 42)).view(np.int64) for k, t in rows}
+    assert left and not left & {tuple(sorted((nodes[a], nodes[b]))) for a, b in near}  # linked pairs aren't looked at again
+
+
 # op9 ----------------------------------------------------------------------------
 
 
