@@ -24,11 +24,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, store
-from .tokens import Encoder, by_size
+from .tokens import Encoder, by_length
 
 #: Rounded sizes that the configuration programme works with.
 GROUPS = 48
@@ -40,6 +41,10 @@ LEAST = 1 / 16
 SLACK = 1
 #: Rows of one length that one task ranks, about.
 RANKED = 1_000_000
+#: Bytes of texts that a worker encodes at once, about: what that takes comes on top of the chunks it keeps.
+AT_ONCE = 500_000
+#: Different chunks that a worker keeps; two workers of an executor may have little memory beside a heap that earlier stages widened.
+KEPT_CHUNKS = 500_000
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
@@ -205,11 +210,11 @@ def _group_and_substitute(p: _Plan, large: list[tuple[int, int]], groups: int) -
 
 def _piece_kernel(tokenizer: str, capacity: int, end_id: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, KEPT_CHUNKS)
         for batch in batches:
-            texts = batch.column(1).fill_null("").to_pylist()
-            for some in by_size(texts):
-                ids, offsets = encoder.encode_ended(texts[some], end_id)
+            for some in by_length(pc.binary_length(batch.column(1)).fill_null(0).to_pylist(), AT_ONCE):
+                texts = batch.column(1).slice(some.start, some.stop - some.start).fill_null("").to_pylist()
+                ids, offsets = encoder.encode_ended(texts, end_id)
                 pieces = -(-np.diff(offsets) // capacity)
                 doc = np.repeat(np.arange(len(pieces)), pieces)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -224,7 +229,7 @@ def _piece_kernel(tokenizer: str, capacity: int, end_id: int, with_ids: bool) ->
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, end[-1:]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-            give_back()
+                give_back()
 
     return kernel
 

@@ -14,6 +14,7 @@ import gc
 import itertools
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import kept, text_bytes
 
 #: Different chunks, and their characters, that a worker keeps at most.
 KEPT_CHUNKS, KEPT_CHARS = 900_000, 24_000_000
+#: Strings given to the library at once: what it returns of each takes far more memory than its ids.
+GIVEN = 4096
 
 #: White space beyond ASCII, and characters that not all libraries count as white space.
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -47,13 +50,20 @@ class _Ragged:
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         used, rows = int(self.starts[self.rows]), self.rows + len(lengths)
         if used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (used + len(ids)))
+            self.ids = self._wider(self.ids, used, 2 * (used + len(ids)))
         self.ids[used : used + len(ids)] = ids
         if rows >= len(self.starts):
-            self.starts = np.resize(self.starts, 2 * rows + 1)
+            self.starts = self._wider(self.starts, self.rows + 1, 2 * rows + 1)
         self.starts[self.rows + 1 : rows + 1] = used + np.cumsum(lengths)
         self.rows = rows
 
+    @staticmethod
+    def _wider(numbers: np.ndarray, used: int, size: int) -> np.ndarray:
+        """A copy with room at its end, which takes no memory until it is written to."""
+        wide = np.empty(size, numbers.dtype)
+        wide[:used] = numbers[:used]
+        return wide
+
     def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of these rows, end to end, and their lengths."""
         begins = self.starts[rows]
@@ -113,19 +123,6 @@ class _Chunks:
         return codes, new
 
 
-class _Codes(dict):
-    """Numbers for strings, in order of their coming; `new` holds those since it was last emptied."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = code = len(self)
-        self.new.append(key)
-        return code
-
-
 def _edges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each byte: is it white, is the next one in its text, is the one before; outside a text all is white."""
     white = _WHITE[data]
@@ -165,6 +162,7 @@ def cut_spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 class Encoder:
     def __init__(self, path: str) -> None:
+        self.most = KEPT_CHUNKS
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -172,10 +170,7 @@ class Encoder:
         # With a normaliser, white space is dropped and letters are lowered; without, a chunk takes the space before it.
         self.lowers = self.library.normalizer is not None
         self.cut = cut_words if self.lowers else cut_spaced
-        self.bare = self.library
-        if self.lowers:
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = None
+        self.normalizer = self.library.normalizer
         # In any case of letters: a token may be looked for after the text was lowered.
         added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
@@ -185,10 +180,11 @@ class Encoder:
         self._clear()
 
     @staticmethod
-    def of(path: str) -> Encoder:
-        """The worker's own encoder for this file."""
+    def of(path: str, most: int = KEPT_CHUNKS) -> Encoder:
+        """The worker's own encoder for this file, which from now on keeps `most` chunks, about."""
         if path not in _encoders:
             _encoders[path] = Encoder(path)
+        _encoders[path].most = most
         return _encoders[path]
 
     def _has_added(self, text: str) -> bool:
@@ -196,11 +192,12 @@ class Encoder:
 
     def _clear(self, salt: int = 0) -> None:
         self.chunks, self.of_chunk = _Chunks(salt), _Ragged()
-        self.atoms, self.of_atom = _Codes(), _Ragged()
-        self.atoms[""] = 0
-        self.of_atom.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        self._clear_atoms()
         self.chars = 0
 
+    def _clear_atoms(self, salt: int = 0) -> None:
+        self.atoms, self.of_atom = _Chunks(salt), _Ragged()
+
     def _learn(self, chunks: pa.Array) -> None:
         """Ids for the chunks that came new: those of a stem and of the marks after it, or of the whole."""
         self.chars += pc.sum(pc.binary_length(chunks)).as_py()
@@ -209,40 +206,48 @@ class Encoder:
         marks = pc.replace_substring_regex(chunks.filter(plain), f"(?s)^.*?([{_MARKS}]*)$", "\\1")
         stems = stems.filter(plain)
         plain = plain.to_numpy(zero_copy_only=False)
-        pairs = np.zeros((len(chunks), 2), np.int64)
-        pairs[plain, 0] = self._codes(self.atoms, pc.utf8_lower(stems) if self.lowers else stems)
-        pairs[plain, 1] = self._codes(self.atoms, marks)
-        self._add(self.bare, self.atoms.new)
-        self.atoms.new.clear()
-        whole = chunks.filter(pa.array(~plain)).to_pylist()
-        pairs[~plain, 0] = [self.atoms["\0" + w] for w in whole]
-        self._add(self.library, whole)
-        self.atoms.new.clear()
+        # The first is what a whole has for marks. Row `known` + k is the k-th whole's; wholes come once, so their rows go again.
+        atoms = self._atoms(pa.concat_arrays([pa.array([""], chunks.type), pc.utf8_lower(stems) if self.lowers else stems, marks]))
+        known = self.of_atom.rows
+        whole = chunks.filter(pa.array(~plain))
+        pairs = np.empty((len(chunks), 2), np.int64)
+        pairs[plain] = atoms[1:].reshape(2, -1).T
+        pairs[~plain, 0], pairs[~plain, 1] = known + np.arange(len(whole)), atoms[0]
+        self._add(whole)
         ids, lengths = self.of_atom.take(pairs.reshape(-1))
+        self.of_atom.rows = known
         self.of_chunk.add(ids, lengths.reshape(-1, 2).sum(1))
 
-    @staticmethod
-    def _codes(known: _Codes, strings: pa.Array) -> np.ndarray:
-        """The number of each string; each different one is looked up once."""
+    def _atoms(self, strings: pa.Array) -> np.ndarray:
+        """The row of each string in of_atom; each different one is looked up once."""
         different = strings.dictionary_encode()
-        codes = np.fromiter(map(known.__getitem__, different.dictionary.to_pylist()), np.int64, len(different.dictionary))
+        while (found := self.atoms.find(different.dictionary)) is None:
+            self._clear_atoms(self.atoms.salt + 1)
+        codes, new = found
+        self.library.normalizer = None  # stems are lowered already
+        try:
+            self._add(different.dictionary.take(pa.array(new)))
+        finally:
+            if self.lowers:
+                self.library.normalizer = self.normalizer
         return codes[different.indices.to_numpy()]
 
-    def _add(self, library, texts: list[str]) -> None:
-        """Rows of of_atom for texts."""
+    def _add(self, strings: pa.Array) -> None:
+        """Rows of of_atom for strings."""
         collecting = gc.isenabled()
         gc.disable()  # very many small lists, of which none is part of a cycle
         try:
-            found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            for at in range(0, len(strings), GIVEN):
+                found = [e.ids for e in self.library.encode_batch_fast(strings.slice(at, GIVEN).to_pylist(), add_special_tokens=False)]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                self.of_atom.add(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
         finally:
             if collecting:
                 gc.enable()
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.of_atom.add(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, end to end, and len(texts) + 1 offsets."""
-        if len(self.chunks) > KEPT_CHUNKS or self.chars > KEPT_CHARS:
+        if len(self.chunks) > self.most or self.chars > KEPT_CHARS:
             self._clear()
         odd = [i for i, t in enumerate(texts) if _DOUBTFUL.search(t) or self._has_added(t)]
         usual = texts
@@ -281,13 +286,18 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def by_size(texts: list[str], chars: int = 3_000_000):
+def by_size(texts: list[str], chars: int = 3_000_000) -> Iterator[slice]:
     """Slices of texts of about `chars` characters; a longer text is a slice of its own."""
-    begin = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > chars:
-            yield slice(begin, i)
-            begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+    return by_length(map(len, texts), chars)
+
+
+def by_length(lengths: Iterable[int], most: int) -> Iterator[slice]:
+    """Slices of about `most` in sum; what is longer is a slice of its own."""
+    begin = held = end = 0
+    for end, n in enumerate(lengths, 1):
+        if held and held + n > most:
+            yield slice(begin, end - 1)
+            begin, held = end - 1, 0
+        held += n
+    if begin < end:
+        yield slice(begin, end)

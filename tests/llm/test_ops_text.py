@@ -3,8 +3,11 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from echograin.llm import langid, merges, packing, pii, queries, token_files
+from echograin.llm import langid, merges, packing, pii, queries, token_files, tokens
 from echograin.llm.common import forget, new_path, shared_dir
 from echograin.llm.tokens import Encoder, public
 
@@ -154,6 +157,42 @@ def test_encoder_agrees_with_the_library(name, texts):
     assert [p.tolist() for p in np.split(ids, offsets[1:-1])][: len(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_agrees_when_hashes_clash_and_the_cache_is_full(monkeypatch):
+    plain_hash = tokens._Chunks._hash
+    monkeypatch.setattr(tokens._Chunks, "_hash", lambda self, data, offsets: plain_hash(self, data, offsets) & np.uint64(~0 if self.salt else 1))
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abTé", k=rng.randint(1, 4))) + rng.choice(["", ",", "..", "9", "\xa0B"]) for _ in range(30)) for _ in range(60)]
+    encoder, whole = Encoder(public("word_bpe_49k.json")), library("word_bpe_49k.json")
+    encoder.most = 200
+    for at in range(0, 60, 10):
+        ids, offsets = encoder.encode(texts[at : at + 10])
+        assert [x.tolist() for x in np.split(ids, offsets[1:-1])] == [whole.encode(t, add_special_tokens=False).ids for t in texts[at : at + 10]]
+
+
+_WORKER = r"""
+import random, re
+import pyarrow as pa
+from echograin.llm import packing
+from echograin.llm.tokens import public
+rng = random.Random(3)
+text = pa.array([" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(250)) for _ in range(2000)], pa.string())
+kernel = packing._piece_kernel(public("word_bpe_49k.json"), 2048, 0, False)
+list(kernel(iter([pa.RecordBatch.from_arrays([pa.array(range(10)), text[:10]], ["doc_id", "text"])])))
+open("/proc/self/clear_refs", "w").write("5")
+held = lambda what: int(re.search(what + r":\s+(\d+)", open("/proc/self/status").read()).group(1)) / 1024
+before = held("VmRSS")
+rows = sum(map(len, kernel(iter([pa.RecordBatch.from_arrays([pa.array(range(2000)), text], ["doc_id", "text"])]))))
+print(rows, held("VmHWM") - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_packing_worker_takes_little_memory():
+    # Half a million different words in 4.5 MB: what is kept of them, and what it takes to get there.
+    rows, grown = subprocess.run([sys.executable, "-c", _WORKER], cwd=Path(packing.__file__).parents[2], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(rows) == 2000 and float(grown) < 200
+
+
 def test_token_files(docs, odd, empty):
     t = library("byte_bpe_50k.json")
     for df in (docs, odd, empty):
