@@ -85,6 +85,11 @@ class _Chunks:
     def __len__(self) -> int:
         return self.rows.rows
 
+    @property
+    def chars(self) -> int:
+        """Bytes of all strings."""
+        return int(self.rows.starts[len(self)])
+
     def _hash(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(data) + 1
         if len(self.power) < n:
@@ -178,6 +183,7 @@ class Encoder:
         self.opening = os.path.commonprefix([re.match(r"[^\w]*", t).group() for t in added])
         self.width = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self._clear()
+        self._clear_atoms()
 
     @staticmethod
     def of(path: str, most: int = KEPT_CHUNKS) -> Encoder:
@@ -192,7 +198,6 @@ class Encoder:
 
     def _clear(self, salt: int = 0) -> None:
         self.chunks, self.of_chunk = _Chunks(salt), _Ragged()
-        self._clear_atoms()
         self.chars = 0
 
     def _clear_atoms(self, salt: int = 0) -> None:
@@ -247,8 +252,11 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts, end to end, and len(texts) + 1 offsets."""
+        # Apart: atoms, which are the library's work, outlast the chunks that were put together from them.
         if len(self.chunks) > self.most or self.chars > KEPT_CHARS:
             self._clear()
+        if len(self.atoms) > self.most or self.atoms.chars > KEPT_CHARS:
+            self._clear_atoms()
         odd = [i for i, t in enumerate(texts) if _DOUBTFUL.search(t) or self._has_added(t)]
         usual = texts
         if odd:
