@@ -240,7 +240,9 @@ def block_function(s, d):
     def count(pdf, block):
         return type(pdf)({"tile_row": [block.row // 4], "tile_col": [block.column // 4], "n": [len(pdf)], "core": [int(pdf["core"].sum())], "x0": [block.x[0]], "y0": [block.y[0]]})
 
-    return blocks.process(P(s, d).select("x", "y"), count, "tile_row long, tile_col long, n long, core long, x0 double, y0 double", blocks.Controls(4, 2, G5))
+    # A few tiles hold all points, however many: they are counted piece by piece.
+    merge = {"n": "sum", "core": "sum", "x0": "min", "y0": "min"}
+    return blocks.process(P(s, d).select("x", "y"), count, "tile_row long, tile_col long, n long, core long, x0 double, y0 double", blocks.Controls(4, 2, G5), merge)
 
 
 @query("SELECT CAST(floor(pulse_id / 1024) AS BIGINT) AS block, count(*) AS n, max(zenith) AS top FROM u GROUP BY ALL")

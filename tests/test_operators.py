@@ -86,6 +86,26 @@ def test_halo_blocks_give_what_one_block_gives(spark, sf):
         assert rows(got, "row", "col", "v") == once
 
 
+def test_crowded_blocks_come_in_pieces(spark, sf, monkeypatch):
+    pts = catalogue.P(spark, sf).select("x", "y", "z")
+
+    def told(pdf):
+        return type(pdf)({"tile_row": [pdf["tile_row"].iloc[0]], "tile_col": [pdf["tile_col"].iloc[0]], "n": [len(pdf)], "most": [len(pdf)], "low": [pdf["z"].min()]})
+
+    shape, controls = "tile_row long, tile_col long, n long, most int, low double", blocks.Controls(4, 2, catalogue.G5)
+    whole = rows(blocks.process(pts, told, shape, controls), "tile_row", "tile_col", "n", "low")
+    monkeypatch.setattr(blocks, "PIECE", 70)
+    pieces = blocks.process(pts, told, shape, controls, {"n": "sum", "most": "max", "low": "min"})
+    assert rows(pieces, "tile_row", "tile_col", "n", "low") == whole and pieces.schema["most"].dataType.typeName() == "integer"
+    assert max(r["most"] for r in pieces.collect()) <= 70 < max(n for _, _, n, _ in whole)
+    with pytest.raises(model.FunctionUnsupported):
+        blocks.process(pts, told, shape, controls, {"n": "median"})
+
+    query = catalogue.QUERIES["block_function"](spark, sf)
+    assert "FlatMapGroups" not in query._jdf.queryExecution().toString()
+    assert sorted((r["tile_row"], r["tile_col"], r["n"]) for r in query.collect()) == [w[:3] for w in whole]
+
+
 def test_ground_surface_does_not_depend_on_tiles(spark, sf):
     g = catalogue.G2
     low = grid.rasterize(catalogue.P(spark, sf), g, {"low": ("min", "z")}).where("low < 40")
