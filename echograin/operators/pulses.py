@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -75,21 +78,40 @@ def start_index(counts: DataFrame, key: str = "pulse_id", n: str = "n", block: i
     return b.withColumn("__in", inner).join(sums, "__block").withColumn("start", F.col("__in") + F.col("__base")).drop("__block", "__in", "__base")
 
 
-def runs(df: DataFrame, order: str, key: list[str], block: int = BLOCK) -> DataFrame:
-    """df with run: the number, from 0, of the stretch of consecutive rows that are equal in key.
+def runs(df: DataFrame, order: str, key: list[str], block: int = BLOCK, nth: str | None = None) -> DataFrame:
+    """df with run: the number, from 0, of the stretch of consecutive rows that are equal in key; if asked for, nth: the row's place in it, from 1.
 
     Blocks find their own changes; their borders are compared with one row per block.
     """
-    value = F.struct(*key)
     b = df.withColumn("__block", F.floor(F.col(order) / block))
     w = Window.partitionBy("__block").orderBy(order)
-    changed = (~F.lag(value).over(w).eqNullSafe(value) & F.lag(F.lit(1)).over(w).isNotNull()).cast("long")
-    inner = b.withColumn("__change", changed).withColumn("__nth", F.sum("__change").over(w))
-    edges = inner.groupBy("__block").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.sum("__change").alias("__n"))
+    other = reduce(or_, [~F.lag(c).over(w).eqNullSafe(F.col(c)) for c in key])
+    inner = b.withColumn("__change", (other & F.lag(F.lit(1)).over(w).isNotNull()).cast("long")).withColumn("__nth", F.sum("__change").over(w))
+    if nth is not None:
+        row = F.row_number().over(w)
+        inner = inner.withColumn("__row", row.cast("long")).withColumn("__begin", F.max(F.when(F.col("__change") == 1, F.col("__row"))).over(w))
+    value = F.struct(*key)
+    ends = [F.max("__row").alias("__rows"), F.max("__begin").alias("__begun")] if nth is not None else []
+    edges = inner.groupBy("__block").agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"), F.sum("__change").alias("__n"), *ends)
     across = Window.orderBy("__block")
     joint = (~F.lag("last").over(across).eqNullSafe(F.col("first")) & F.lag(F.lit(1)).over(across).isNotNull()).cast("long")
-    base = edges.withColumn("__joint", joint).select("__block", (F.sum("__joint").over(across) + F.sum("__n").over(across) - F.col("__n")).alias("__base"))
-    return inner.join(base, "__block").withColumn("run", F.col("__nth") + F.col("__base")).drop("__block", "__change", "__nth", "__base")
+    base = edges.withColumn("__joint", joint).withColumn("__base", F.sum("__joint").over(across) + F.sum("__n").over(across) - F.col("__n"))
+    dropped = ["__block", "__change", "__nth", "__base"]
+    if nth is not None:
+        # Rows before the block; where its first run begins, in it or in one before; places are those in the whole table.
+        base = base.withColumn("__before", F.sum("__rows").over(across) - F.col("__rows"))
+        opens = F.when((F.col("__joint") == 1) | (F.col("__before") == 0), F.col("__before") + 1)
+        base = base.withColumn("__opens", opens).withColumn("__latest", F.coalesce(F.col("__before") + F.col("__begun"), F.col("__opens")))
+        earlier = F.max("__latest").over(across.rowsBetween(Window.unboundedPreceding, -1))
+        base = base.withColumn("__opened", F.coalesce("__opens", earlier)).select("__block", "__base", "__before", "__opened")
+        dropped += ["__row", "__begin", "__before", "__opened"]
+    else:
+        base = base.select("__block", "__base")
+    out = inner.join(base, "__block").withColumn("run", F.col("__nth") + F.col("__base"))
+    if nth is not None:
+        begins = F.coalesce(F.col("__before") + F.col("__begin"), F.col("__opened"))
+        out = out.withColumn(nth, F.col("__before") + F.col("__row") - begins + 1)
+    return out.drop(*dropped)
 
 
 def build_pulses(records: DataFrame, order: str, returns: str = "return_number", block: int = BLOCK) -> DataFrame:

@@ -40,8 +40,8 @@ def read_ascii(spark: SparkSession, path: str) -> tuple[DataFrame, Grid]:
     head = {r["value"].split()[0].lower(): r["value"].split()[1] for r in lines.where("value rlike '^\\\\s*[A-Za-z]'").collect()}
     size, rows, columns = float(head["cellsize"]), int(head["nrows"]), int(head["ncols"])
     g = Grid(float(head["xllcorner"]), float(head["yllcorner"]) + rows * size, size, rows, columns)
-    # Identifiers rise with the place; a running count of lines in blocks of partitions gives the row.
-    numbered = start_index(lines.where("value not rlike '^\\\\s*[A-Za-z]'").withColumn("one", F.lit(1)), "at", "one", block=1 << 33)
+    # Identifiers rise with the place; a running count of lines in blocks, of few lines as these are long, gives the row.
+    numbered = start_index(lines.where("value not rlike '^\\\\s*[A-Za-z]'").withColumn("one", F.lit(1)), "at", "one", block=1 << 10)
     cell = F.posexplode(F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double"))).alias("col", "v")
     return numbered.select(F.col("start").alias("row"), cell).withColumn("col", F.col("col").cast("long")), g
 

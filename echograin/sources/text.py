@@ -45,13 +45,14 @@ def read_pulses(spark: SparkSession, path: str, columns: list[tuple[str, str]],
     missing = set(pulse_columns) - {n for n, _ in columns}
     if missing:
         raise InvalidData(f"no such columns: {sorted(missing)}")
-    # A run never crosses a file: its name is part of the key. Identifiers of records come in blocks of 2^33 a partition.
-    rows = runs(rows, "record_number", ["file", *pulse_columns], block=1 << 33) if sequential else rows.withColumn("run", F.col("record_number"))
+    if sequential:
+        # A run never crosses a file, which 128 bits stand for in the key: a path in every row would be most of what is sorted.
+        slim = rows.withColumns({"__file": F.xxhash64("file"), "__also": F.xxhash64(F.lit(1), "file")}).drop("file")
+        rows = runs(slim, "record_number", ["__file", "__also", *pulse_columns], nth="__place")
+    else:
+        rows = rows.withColumns({"run": F.col("record_number"), "__place": F.lit(1)})
     rows = rows.withColumnRenamed("run", "pulse_id")
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("pulse_id").orderBy("record_number"))
-    points = rows.select("pulse_id", nth.alias("return_number"), *[n for n, _ in columns if n not in pulse_columns])
+    points = rows.select("pulse_id", F.col("__place").cast("int").alias("return_number"), *[n for n, _ in columns if n not in pulse_columns])
     pulses = rows.groupBy("pulse_id").agg(*[F.first(c).alias(c) for c in pulse_columns], F.count("*").alias("number_of_returns"))
     return pulses, points
 

@@ -65,6 +65,22 @@ def test_totals_and_runs_do_not_depend_on_blocks(spark, sf, block):
         assert b[1] == run
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 16])
+def test_places_in_runs_that_cross_blocks(spark, block):
+    rng = np.random.default_rng(5)
+    at = np.cumsum(rng.integers(1, 4, 300)).tolist()  # with gaps, whole blocks among them
+    at = at[:150] + [a + 50 for a in at[150:]]
+    key = [None if k == 3 else int(k) for k in np.repeat(rng.integers(0, 4, 60), rng.integers(1, 30, 60))[:300]]
+    df = spark.createDataFrame(list(zip(at, key)), "at long, k int").repartition(3)
+    run, place, want = 0, 0, []
+    for i, k in enumerate(key):
+        run, place = (run + 1, 1) if i and k != key[i - 1] else (run, place + 1)
+        want.append((at[i], run, place, k))
+    found = pulses.runs(df, "at", ["k"], block, nth="place").select("at", "run", "place", "k")
+    assert sorted(map(tuple, found.collect())) == want
+    assert max(w[2] for w in want) > 14
+
+
 def test_strict_pulse_building(spark):
     df = spark.createDataFrame([("f", 0, 2), ("f", 1, 2), ("f", 2, 3), ("f", 3, 1), ("f", 4, 1), ("f", 5, 1)], "file string, at long, number_of_returns int")
     got = pulses.build_pulses_strictly(df, "at", "number_of_returns", "file")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echograin import cli, model
 from echograin.model import Extent, Grid
+from echograin.operators import pulses
 from echograin.plans import catalogue, translate
 from echograin.sources import las, lidar_formats, raster_files, store, text
 from echograin.streaming import tiles
@@ -21,6 +22,31 @@ def test_text_with_runs(spark, tmp_path):
     assert sorted((r["return_number"], r["z"]) for r in points.collect()) == [(1, 1), (1, 3), (1, 5), (2, 2)]
 
 
+def test_pulses_of_a_long_file_are_built_in_blocks(spark, tmp_path, monkeypatch):
+    # Pulses of 1 to 5 records; those at the borders of files are alike, and one crosses the border of blocks.
+    each = np.repeat(np.arange(47000), np.arange(47000) % 5 + 1)
+    for name, times in (("a", each[each < 25000]), ("b", np.concatenate([[24999] * 3, each[each >= 25000]]))):
+        with gzip.open(tmp_path / f"{name}.txt.gz", "wt") as f:
+            f.writelines(f"{t},{i}\n" + "# note\n" * (i % 1000 == 0) for i, t in enumerate(times))
+    seen = []
+
+    def runs(df, order, key, block=pulses.BLOCK, **more):
+        seen.append((df, order, block))
+        return pulses.runs(df, order, key, block, **more)
+
+    monkeypatch.setattr(text, "runs", runs)
+    beams, points = text.read_pulses(spark, str(tmp_path), [("t", "INT64"), ("i", "INT64")], ["t"])
+    (df, order, block), = seen
+    assert df.groupBy(F.floor(F.col(order) / block)).count().agg(F.max("count")).first()[0] <= 1 << 16 < df.count()
+    assert not [n for n, kind in df.dtypes if kind == "string"]  # no path in what is sorted
+    got = sorted((r["t"], r["number_of_returns"]) for r in beams.collect())
+    assert got == sorted([(t, t % 5 + 1) for t in range(47000)] + [(24999, 3)])
+    firsts = points.where("return_number = 1").count()
+    assert firsts == len(got) and points.agg(F.sum("return_number")).first()[0] == sum(n * (n + 1) // 2 for _, n in got)
+    late = points.groupBy("pulse_id").agg((F.max("i") - F.min("i") + 1).alias("n"), F.max("return_number").alias("last"), F.max(F.struct("i", "return_number"))["return_number"].alias("at_last"))
+    assert late.where("n <> last OR last <> at_last").count() == 0
+
+
 def test_text_errors(spark, tmp_path):
     (tmp_path / "b.txt").write_text("1 2\n1\n300 1\n")
     columns = [("a", "UINT8"), ("b", "INT8")]
