@@ -83,7 +83,8 @@ def runs(df: DataFrame, order: str, key: list[str], block: int = BLOCK, nth: str
 
     Blocks find their own changes; their borders are compared with one row per block.
     """
-    b = df.withColumn("__block", F.floor(F.col(order) / block))
+    # Rows in order compress so well that tasks put together by bytes would hold too many: their number stays as set.
+    b = df.withColumn("__block", F.floor(F.col(order) / block)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__block")
     w = Window.partitionBy("__block").orderBy(order)
     other = reduce(or_, [~F.lag(c).over(w).eqNullSafe(F.col(c)) for c in key])
     inner = b.withColumn("__change", (other & F.lag(F.lit(1)).over(w).isNotNull()).cast("long")).withColumn("__nth", F.sum("__change").over(w))
