@@ -8,7 +8,7 @@ from echograin import model
 from echograin.functions import columns as C
 from echograin.model import Extent, Grid
 from echograin.operators import grid, interpolate, profile, pulses, raster, vector, voxel
-from echograin.plans import blocks, catalogue
+from echograin.plans import blocks, catalogue, catalogue_files
 
 
 def rows(df, *names):
@@ -117,7 +117,7 @@ def test_crowded_blocks_come_in_pieces(spark, sf, monkeypatch):
     with pytest.raises(model.FunctionUnsupported):
         blocks.process(pts, told, shape, controls, {"n": "median"})
 
-    query = catalogue.QUERIES["block_function"](spark, sf)
+    query = catalogue_files.block_function(spark, sf)
     assert "FlatMapGroups" not in query._jdf.queryExecution().toString()
     assert sorted((r["tile_row"], r["tile_col"], r["n"]) for r in query.collect()) == [w[:3] for w in whole]
 
